@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from tessella.llm.decontamination import op10_decontamination
+from tessella.llm.neighbours import op6_neighbours
 from tessella.llm.packing import op7_packing
+from tessella.llm.quality import op3_quality
+from tessella.llm.simhash import op2_simhash
+from tessella.llm.substrings import op9_substrings
 from tessella.llm.token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
+    "op6_neighbours": op6_neighbours,
     "op7_packing": op7_packing,
+    "op9_substrings": op9_substrings,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: DuckDB SQL for those that SQL can express.

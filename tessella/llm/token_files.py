@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm._schema import schema
 from tessella.llm._session import scratch
 from tessella.llm.seekable import FRAME_BYTES, Reader, Writer
 from tessella.llm.tokens import encoder, groups
 
-_SHARDS = T.StructType.fromDDL("shard int, file string, n_docs long, n_tokens long, n_bytes long")
-_BACK = T.StructType.fromDDL("doc_id long, start long, n_tokens long, ids_crc32 long, shard int, position long")
+_SHARDS = schema("shard int, file string, n_docs long, n_tokens long, n_bytes long")
+_BACK = schema("doc_id long, start long, n_tokens long, ids_crc32 long, shard int, position long")
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, mode: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", frame_bytes: int = FRAME_BYTES) -> DataFrame:
