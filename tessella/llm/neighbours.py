@@ -139,7 +139,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("vec") == (sizes[0]["d"] if sizes else 0))
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, tables: int = 24, probes: int = 12, block: int = BLOCK) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, tables: int = 24, probes: int = 4, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest found of each query, ties to the smaller id.
 
     index and queries come from usable(). Rows with a query's own id are no candidates. A query for which fewer than k

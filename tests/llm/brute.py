@@ -68,3 +68,37 @@ def contained(rows, items, threshold=0.8, width=5):
             if own and len(own & sets[k]) >= threshold * len(own) - 1e-9:
                 out.add((d, item, len(own), len(own & sets[k])))
     return out
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+LICENSE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def licenses(text, phrases):
+    words = LICENSE_WORD.findall(lower(text))
+    at, labels = [], set()
+    for phrase, label in phrases.items():
+        p = phrase.split()
+        found = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        at += found
+        labels |= {label} if found else set()
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def license_share(text, template, threshold):
+    words, own = LICENSE_WORD.findall(lower(text)), set(template.split())
+    n = max(len(template.split()), len(own))
+    best = max((len(own & set(words[max(0, i) : i + n])) / len(own) for i in range(1 - n, len(words))), default=0)
+    return best if best >= threshold - 1e-9 else 0.0
+
+
+def secrets(text, kinds):
+    out, counts = [], []
+    for rank, (kind, pattern, least, group) in enumerate(kinds):
+        found = [m for m in re.finditer(pattern, text or "", re.ASCII) if len(m.group(group)) >= least]
+        counts.append(len(found))
+        out += [(m.start(), rank, kind, m.end()) for m in found]
+    return *counts, hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out)).encode()).hexdigest()
