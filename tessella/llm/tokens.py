@@ -9,23 +9,31 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from itertools import accumulate, chain, islice
+from unicodedata import is_normalized
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct parts that a worker remembers before it starts anew.
-CACHE_PARTS = 400_000
+CACHE_PARTS = 800_000
 #: Parts longer than this are not remembered.
 CACHE_CHARS = 40
 #: A private-use character, put where a text is cut.
 CUT = "\ue001"
 #: A stop or comma before a blank is a pre-token of its own, unless another sign stands before it.
 ODD_STOP = re.compile(r"[.,](?<=(?:[^\w \n]|_)[.,])\s|^[.,]")
+#: A word, perhaps after a blank, and ASCII signs other than the apostrophe after it.
+WORD = re.compile(r"( ?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 #: Blanks in a row are shared out among pre-tokens in another way.
 ODD_BLANK = re.compile(r"\s\s")
 
+#: The character that stands for each byte in byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_OTHERS = [b for b in range(256) if b not in _PRINTED]
+BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+
 _ENCODERS: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -38,17 +46,16 @@ class Encoder:
 
     def __init__(self, path: str, mode: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.mode = mode
         self.known: dict[str, bytes] = {}
-        self.between = " " if mode == "drop" else ""
-        vocabulary = self.tokenizer.get_vocab()
-        #: By id: it ends a pre-token ("drop"), or begins one with a blank ("lead").
-        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, i in vocabulary.items():
-            self.edge[i] = token.endswith("</w>") if mode == "drop" else token.startswith("\u0120")
+        #: The same merges without normaliser and pattern, for words that need neither.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
+        (self.line_end,) = self.plain.encode(BYTES[10], add_special_tokens=False).ids
 
     def parts(self, text: str) -> list[str]:
         if self.mode == "drop":
@@ -63,42 +70,47 @@ class Encoder:
         text = text.replace(" ", CUT + " ").replace("\n", f"{CUT}\n{CUT}")
         return text.replace("," + CUT, f"{CUT},{CUT}").replace("." + CUT, f"{CUT}.{CUT}").split(CUT)
 
-    def joins(self, part: str) -> bool:
-        """Whether a part is one pre-token whose ids can be told from its neighbours' in one string."""
-        return len(part) <= CACHE_CHARS and (part if self.mode == "drop" else part[1:]).isalpha() and (self.mode == "drop" or part[0] == " ")
+    def plainly(self, part: str) -> str | None:
+        """The pre-tokens of a part as bytes with blanks between, if it is a composed word and ASCII signs after it."""
+        m = WORD.fullmatch(part)
+        if not m or len(part) > CACHE_CHARS:
+            return None
+        blank, word, signs = m.groups()
+        if not word.isalpha() or not word.isascii() and self.mode == "drop" and not is_normalized("NFC", word) or self.mode == "drop" and (blank or word != word.lower()):
+            return None
+        return (BYTES[32] if blank else "") + (word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)) + (" " + signs if signs else "")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         cut = [self.parts(t) for t in texts]
-        known = self.known
-        new = list(set().union(*cut).difference(known)) if cut else []
-        if len(known) + len(new) > CACHE_PARTS:  # frequent parts come early, so the first half stays
-            self.known = known = dict(islice(known.items(), CACHE_PARTS // 2))
-            new = list(set().union(*cut).difference(known))
-        extra: dict[str, bytes] = {}
-        for p, code in self._new(new):
-            (known if len(p) <= CACHE_CHARS else extra)[p] = code
-        if extra:
-            return [b"".join([known[p] if p in known else extra[p] for p in c]) for c in cut]
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        flat = list(chain.from_iterable(cut))
+        codes = list(map(self.known.get, flat))
+        missed = [i for i, c in enumerate(codes) if c is None]
+        if missed:
+            new = dict(self._new(list({flat[i] for i in missed})))
+            if len(self.known) + len(new) > CACHE_PARTS:  # frequent parts come early, so the first half stays
+                self.known = dict(islice(self.known.items(), CACHE_PARTS // 2))
+            self.known.update(new if max(map(len, new)) <= CACHE_CHARS else {p: c for p, c in new.items() if len(p) <= CACHE_CHARS})
+            for i in missed:
+                codes[i] = new[flat[i]]
+        ends = list(accumulate(map(len, cut)))
+        return [b"".join(codes[i:j]) for i, j in zip([0, *ends], ends)]  # noqa: B905
 
     def _new(self, parts: list[str]):
-        """The ids of parts: words in one string, cut where a word's last (or first) id stands; the rest one by one."""
-        words = [p for p in parts if self.joins(p)]
-        apart = set(words)
-        alone = [p for p in parts if p not in apart]
+        """The ids of parts: words as bytes in one string with line ends between them, the rest one by one."""
+        words, alone = [], []
+        for p in parts:
+            plain = self.plainly(p)
+            words.append((p, plain)) if plain else alone.append(p)
+        between = f" {BYTES[10]} "
         several = [words[k : k + 256] for k in range(0, len(words), 256)]
         for k in range(0, len(several), 8):
-            codes = self.tokenizer.encode_batch_fast([self.between.join(x) for x in several[k : k + 8]], add_special_tokens=False)
-            for some, code in zip(several[k : k + 8], codes, strict=True):
+            texts = [between.join([plain for _, plain in x]) for x in several[k : k + 8]]
+            for some, code in zip(several[k : k + 8], self.plain.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 ids = np.array(code.ids, "<u4")
-                at = np.flatnonzero(self.edge[ids])
-                if len(at) != len(some):
-                    alone += some
-                    continue
-                ends = [*(4 * at[1:]).tolist(), 4 * len(ids)] if self.mode == "lead" else (4 * at + 4).tolist()
+                at = 4 * np.flatnonzero(ids == self.line_end)
                 raw = ids.tobytes()
-                yield from zip(some, [raw[i:j] for i, j in zip([0, *ends], ends)], strict=True)  # noqa: B905
+                yield from zip([p for p, _ in some], [raw[i:j] for i, j in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True)], strict=True)
         for k in range(0, len(alone), 512):
             some = alone[k : k + 512]
             for p, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
