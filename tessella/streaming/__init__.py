@@ -1,0 +1 @@
+"""No operator of this library is a stream: factorizations are iterative batch jobs."""
