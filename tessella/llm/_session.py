@@ -1,47 +1,5 @@
 """The folder that driver and executors share, and tables written there to cut lineage."""
 
-from __future__ import annotations
+from tessella.session import scratch, shared_dir, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.
-
-    Only a local session that names none gets a temporary folder; on a cluster the setting must be there.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessella-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-#: Shuffle files of a query can go as soon as its result is written.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written in the shared folder: lineage ends there and a lost executor costs nothing.
-
-    What was shuffled to make it is deleted at once rather than when the driver next collects its garbage.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    before = spark.conf.get(CLEAN, None)
-    spark.conf.set(CLEAN, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["scratch", "shared_dir", "written"]
