@@ -9,10 +9,13 @@ from tessella.llm.packing import op7_packing
 from tessella.llm.quality import op3_quality
 from tessella.llm.secrets import op8_secrets
 from tessella.llm.simhash import op2_simhash
+from tessella.llm.sql import ORACLE
 from tessella.llm.substrings import op9_substrings
 from tessella.llm.token_files import op1_token_files
 from tessella.llm.toxicity import op5_toxicity
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_simhash": op2_simhash,
@@ -25,6 +28,3 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_decontamination": op10_decontamination,
 }
-
-#: DuckDB SQL for those that SQL can express.
-ORACLE: dict[str, str] = {}
