@@ -3,8 +3,8 @@
 Level 1 takes windows of half the wanted length. Of these only the minimiser of each full window is indexed: two equal
 full windows choose the same one, so nothing is lost and a sixth of the rows suffices. Windows repeated at that length
 alone are extended to twice the length: around each, the full windows whose minimiser it is are hashed and grouped, and
-those that started earlier elsewhere mark their words. With longest set, repeated windows go on to twice, four times ...
-the length until no candidate survives or that length is reached.
+those that started earlier elsewhere mark their words. What is removed depends on that length alone; repeat_lengths() goes
+on to twice, four times ... the length until no candidate survives.
 
 Every exchange is combined before it is shuffled: within a batch only the first of equal windows is sent to meet others,
 the rest are known to repeat and go their own way by document, so a passage that a third of all documents share puts no
@@ -262,6 +262,44 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     return rows, _cut(copies.unionByName(marked), length)
 
 
+def repeat_lengths(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row, spot, length: how far the repeats at anchors go.
+
+    Anchors repeated at length // 2 are tried at length, those repeated there at twice that, and so on until no candidate
+    survives; the last length at which an anchor's window repeats is returned. Windows are counted before the shuffle, and
+    only survivors come back to their documents. Ids and texts are treated as in remove_repeats().
+    """
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    alive = _repeated(_anchors(rows.select("doc_id", "text"), length)).where("spot >= 0").select("doc_id", "spot")
+    # a whole copy has the anchors of its first document, which repeat as well
+    found, level = None, length
+    while True:
+        spots = alive.groupBy("doc_id").agg(F.collect_set("spot").alias("spots"))
+
+        def hashed(batches, level=level):
+            for batch in batches:
+                ds, rs, ps, hs = [], [], [], []
+                for k in range(0, batch.num_rows, 128):
+                    for doc_id, row, text, at in zip(*(batch.slice(k, 128).column(i).to_pylist() for i in range(4)), strict=True):
+                        h = window_hashes(word_hashes(split_words(text)), level)
+                        p = np.array(sorted(x for x in at if x < len(h)), np.int64)
+                        ds.append(np.full(len(p), doc_id, np.int64)), rs.append(np.full(len(p), row, np.int64)), ps.append(p), hs.append(h[p].view(np.int64))
+                if ds:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ds, rs, ps, hs)], names=["doc_id", "row", "spot", "h"])
+
+        windows = written(rows.join(spots, "doc_id").mapInArrow(hashed, "doc_id long, row long, spot long, h long"), "windows")
+        again = windows.groupBy("h").count().where("count > 1").select("h")
+        alive = written(windows.join(again, "h", "left_semi").select("doc_id", "row", "spot"), "survivors")
+        if alive.isEmpty():
+            break
+        one = alive.withColumn("length", F.lit(level))
+        found = one if found is None else found.unionByName(one)
+        alive, level = alive.select("doc_id", "spot"), 2 * level
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, row long, spot long, length int")
+    return found.groupBy("doc_id", "row", "spot").agg(F.max("length").alias("length"))
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 

@@ -252,6 +252,15 @@ def test_substrings(spark, odd, odd_rows, none, clash, tmp_path):
     assert got == brute.repeats([(r.doc_id, r.text) for r in big.collect()])
 
 
+def test_repeat_lengths(spark, odd_rows):
+    words = [f"u{i}" for i in range(200)]
+    rows = [(0, " ".join(words)), (1, "a b c " + " ".join(words[:100]) + " d"), (2, " ".join(words[150:175]) + " z"), (3, "nothing here repeats at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.repeat_lengths(docs).groupBy("doc_id").agg(F.max("length").alias("n"))
+    assert {r.doc_id: r.n for r in got.collect()} == {0: 80, 1: 80, 2: 20}
+    assert substrings.repeat_lengths(docs.where("doc_id = 3")).count() == 0
+
+
 def test_window_hashes():
     w = word_hashes([b"a", b"b", b"c"] * 9)
     for n in (1, 2, 5, 10, 20):
