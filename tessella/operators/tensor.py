@@ -71,3 +71,9 @@ def normalize_mode(factor: DataFrame) -> tuple[DataFrame, list[float]]:
     """Columns of length one, and the lengths; a zero column stays."""
     lam = [float(np.sqrt(x)) for x in np.diag(gram(factor))]
     return factor.select("idx", *((F.col(f"f{r}") / (x or 1.0)).alias(f"f{r}") for r, x in enumerate(lam))), lam
+
+
+def kronecker(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(idx, f0 ..): rows of khatri_rao() numbered with b's index fastest; b's ids are 0 .. n - 1."""
+    n = b.agg(F.max("idx") + 1).first()[0] or 0
+    return khatri_rao(a, b).withColumn("idx", F.col("ia") * n + F.col("ib")).drop("ia", "ib")

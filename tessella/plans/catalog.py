@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
+from tessella.functions.text import terms
 from tessella.operators import matrix as R
 from tessella.operators import tensor as X
 from tessella.plans.factors import Factor
@@ -323,6 +324,23 @@ def argmax_cluster(spark, d):
     return R.argmax_cluster(w0(m1(spark, d)))
 
 
+@query("""WITH p AS (SELECT doc_id AS i, unnest(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&[a-zA-Z#0-9]+;', ' ', 'g'), 'https?://[^ \\t\\n\\r\\f]+', ' ', 'g')), '[a-z]+')) AS term
+ FROM (SELECT page_id AS doc_id, html FROM pages) u) SELECT term, COUNT(*) AS n, COUNT(DISTINCT i) AS pages FROM p WHERE length(term) >= 2 AND term NOT IN ('the', 'of', 'and') GROUP BY 1""")
+def clean_terms(spark, d):
+    t = table(spark, d, "pages").select("page_id", F.explode(terms(F.col("html"), ["the", "of", "and"], 2)).alias("term"))
+    per_page = t.groupBy("term", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_page.groupBy("term").agg(F.sum("n").cast("long").alias("n"), F.count(F.lit(1)).alias("pages"))
+
+
+@query("""WITH m AS (SELECT DISTINCT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS j FROM orders)
+ SELECT CAST((j - 1) // 12 AS BIGINT) AS year, CAST(r AS BIGINT) AS r, round(AVG(((j * 5 + r * 3) % 7 + 1) / CAST(7 AS DOUBLE)), 8) AS weight FROM m CROSS JOIN (VALUES (0), (1), (2)) t(r) GROUP BY 1, 2""")
+def topic_over_time(spark, d):
+    months = table(spark, d, "orders").select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("idx")).distinct()
+    rows = R.long_form(R.formula_factor(months, K, 5, 3, 7), digits=None)
+    year = F.floor((F.col("idx") - 1) / 12).cast("long").alias("year")
+    return rows.groupBy(year, F.col("r").cast("long").alias("r")).agg(F.round(F.avg("x"), 8).alias("weight"))
+
+
 # ---- steps of the update rules
 
 

@@ -13,6 +13,7 @@ from tessella.plans.hier import hier_nmf, power_sigma
 from tessella.plans.joint import gradients, joint_nmf, objective
 from tessella.plans.nmf import nmf
 from tessella.plans.ntf import ntf
+from tessella.plans.run import run
 from tessella.sources.generate import random_matrix, random_tensor
 
 
@@ -163,3 +164,18 @@ def test_joint_gradients():
             e[at] = 1e-6
             d = (cost(w + e, h) - cost(w - e, h) if x is w else cost(w, h + e) - cost(w, h - e)) / 2e-6
             assert d == pytest.approx(g[at], rel=1e-4)
+
+
+def test_acceleration_never_hurts(cube):
+    rows = [r[1] for r in ntf(cube, 2, "NESTEROV", 9, accelerate=True).rows]
+    assert rows[-1] <= ntf(cube, 2, "NESTEROV", 9).rows[-1][1] * 1.05
+
+
+def test_runs_from_options(spark, tmp_path):
+    out = run(spark, {"program": "nmf", "algo": 0, "k": 2, "iterations": 2, "dims": [8, 6], "output": str(tmp_path / "o")})
+    assert out["W"].count() == 8 and spark.read.parquet(str(tmp_path / "o/H")).count() == 6
+    assert len(spark.read.text(str(tmp_path / "o/W_text")).collect()) == 8
+    assert set(run(spark, {"program": "ntf", "k": 2, "iterations": 1, "dims": [3, 4, 2]})) == {"mode0", "mode1", "mode2", "lambda", "metrics"}
+    assert run(spark, {"program": "jointnmf", "k": 2, "iterations": 1, "dims": [5, 6]})["H"].count() == 6
+    with pytest.raises(ValueError):
+        run(spark, {"nonsense": 1})
