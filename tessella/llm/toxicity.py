@@ -220,13 +220,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str =
         y = np.array([1.0] * (len(good) + len(spoilt)) + [-1.0] * len(bad))
         weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * len(y) / 2
         marks = list(dict.fromkeys(sorted(own_set)[: LANDMARKS // 3] + good[: LANDMARKS // 3] + bad[:: max(1, len(bad) // (LANDMARKS // 3))]))[:LANDMARKS]
-        tables = [embedded(w) for w in marks]
-        k = np.stack([against(words, t) for t in tables], 1)
-        value, vector = np.linalg.eigh(np.stack([against(marks, t) for t in tables], 1))
+        k = np.stack([against(words + marks, embedded(w)) for w in marks], 1)  # a landmark's table at a time
+        k, own_k = k[: len(words)], k[len(words) :]
+        value, vector = np.linalg.eigh(own_k)
         keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
         w = svm(k @ root, y, weight)
-        machine = Machine(np.tensordot(root @ w[:-1], np.stack(tables), 1), float(w[-1]), np.zeros(4))
+        table = np.zeros(1 << BITS)
+        for beta, mark in zip(root @ w[:-1], marks, strict=True):
+            table += beta * embedded(mark)
+        machine = Machine(table, float(w[-1]), np.zeros(4))
 
         def run(batches):
             for batch in batches:
