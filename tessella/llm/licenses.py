@@ -15,7 +15,6 @@ are neither shuffled nor multiplied.
 from __future__ import annotations
 
 import math
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +34,6 @@ TEMPLATES = {
 }
 MOST_TEMPLATES = 512
 _APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _lower(text: Column) -> Column:
@@ -48,15 +46,9 @@ def words(text: Column) -> Column:
     return F.filter(F.split(_lower(text), _APART), lambda w: w != "")
 
 
-def _any_of(tokens: list[str]) -> str:
-    """A pattern that finds one of some words in a raw text."""
-    inside = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    return rf"(?i)(?<!{inside})(?:{'|'.join(re.escape(t) for t in sorted(tokens))})(?!{inside})"
-
-
 def word_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
     """Documents that hold each word of a short vocabulary, over all documents; one row a word comes to the driver."""
-    seen = docs.select(F.array_distinct(F.filter(F.transform(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit("(" + _any_of(vocabulary) + ")"), F.lit(1)), _lower), lambda w: w != "")).alias("w"))
+    seen = docs.select(F.array_intersect(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), _APART), F.array(*map(F.lit, vocabulary))).alias("w"))
     counted = seen.select(F.explode("w").alias("w")).groupBy("w").count().collect()
     return {w: 0 for w in vocabulary} | {r["w"]: r["count"] for r in counted}
 
@@ -92,7 +84,8 @@ class Template:
             return F.array_max(F.transform(starts, share))
 
         spots = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.element_at(ws, i + 1).isin(*self.prefix))
-        return F.when(F.arrays_overlap(ws, F.array(*map(F.lit, self.prefix))), F.coalesce(F.array_max(F.transform(spots, block)), F.lit(0.0))).otherwise(F.lit(0.0))
+        enough = F.arrays_overlap(ws, F.array(*map(F.lit, self.prefix))) & (F.size(F.array_intersect(ws, own)) >= self.least)
+        return F.when(enough, F.coalesce(F.array_max(F.transform(spots, block)), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def _starts(ws: Column, phrase: str) -> Column:
@@ -100,7 +93,7 @@ def _starts(ws: Column, phrase: str) -> Column:
     own = phrase.split()
     goal = F.array(*map(F.lit, own))
     last = F.size(ws) - len(own)
-    every = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    every = F.when((last >= 0) & F.array_contains(ws, own[0]) & F.array_contains(ws, own[-1]), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     return F.filter(every, lambda i: (F.element_at(ws, i + 1) == own[0]) & (F.slice(ws, i + 1, len(own)) == goal))
 
 
@@ -119,7 +112,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     found = [Template(label, t, threshold, order) for label, t in listed]
     rare = sorted({w for t in found for w in t.prefix} | {p.split()[0] for p in phrases})
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.expr(f"regexp_count(text, r'{_WORD}')").cast("long").alias("n_words"), F.when(F.col("text").rlike(_any_of(rare)), F.col("text")).alias("t"))
+    # lower() takes more letters down than A-Z, so it finds all candidates and parts words at the same places
+    rows = rows.withColumn("low", F.split(F.lower("text"), _APART))
+    held = F.arrays_overlap("low", F.array(*map(F.lit, rare)))
+    rows = rows.select("doc_id", F.size(F.array_remove("low", "")).cast("long").alias("n_words"), F.when(held, F.col("text")).alias("t"))
     rows = rows.withColumn("ws", F.when(F.col("t").isNotNull(), words(F.col("t")))).drop("t")
     some = F.col("ws").isNotNull()
     rows = rows.select(
