@@ -163,7 +163,10 @@ def _spoilt(word: str) -> list[str]:
 
 
 def _units(sample: DataFrame) -> DataFrame:
-    """unit, t, n: in how many toxic and clean documents of the sample a word (=word) or stem (^stem) stands."""
+    """unit, t, n: in how many toxic and clean documents of the sample a word (=word) or stem (^stem) stands.
+
+    The sample bounds their number, so a few partitions do, of which each sends its best to the driver.
+    """
 
     def run(batches):
         for batch in batches:
@@ -176,7 +179,7 @@ def _units(sample: DataFrame) -> DataFrame:
                 if counts:
                     yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in counts]), pa.array([c if y else 0 for (_, y), c in counts.items()], pa.int64()), pa.array([0 if y else c for (_, y), c in counts.items()], pa.int64())], names=["unit", "t", "n"])
 
-    return sample.mapInArrow(run, "unit string, t long, n long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    return sample.mapInArrow(run, "unit string, t long, n long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).coalesce(8)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Machine:
@@ -201,7 +204,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str =
             return flat
         is_word = F.col("unit").startswith("=")
         near = F.col("unit").isin(own) | F.substring("unit", 2, 3).isin(sorted({s[:3] for s in stems}))
-        near_rows = units.where(is_word & near).orderBy(F.desc(F.col("t") + F.col("n")), "unit").limit(4 * WORDS).collect()
+        near_rows = units.where(is_word & near).orderBy(F.desc(F.col("t") + F.col("n")), "unit").limit(2 * WORDS).collect()
         clean_rows = units.where(is_word & ~near & (F.col("t") * n0 < 2 * (F.col("n") + 0.5) * n1))
         common = [r.unit[1:] for r in clean_rows.orderBy(F.desc("n"), "unit").limit(WORDS).collect()]
         common += [r.unit[1:] for r in clean_rows.orderBy(F.xxhash64("unit"), "unit").limit(WORDS).collect()]
