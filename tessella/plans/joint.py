@@ -76,7 +76,7 @@ def joint_nmf(a: DataFrame, s: DataFrame, k: int = 20, algo: str = "ANLSBPP", it
         ah = lambda x: numpy_product(a, hid, x, "j", "i", wid)
         atw = lambda x: numpy_product(a, wid, x, "i", "j", hid)
         sh = lambda x: numpy_product(s, hid, x, "j", "i", hid)
-        out, dw, dh, eye = [], np.zeros_like(w), np.zeros_like(h), np.eye(k)
+        out, dw, dh, eye, last = [], np.zeros_like(w), np.zeros_like(h), np.eye(k), 0.0
         pa_, pt, ps = ah(h), atw(w), sh(h)
         cost = objective(na, ns, alpha, w, h, pa_, ps)
         for it in range(iterations):
@@ -92,6 +92,7 @@ def joint_nmf(a: DataFrame, s: DataFrame, k: int = 20, algo: str = "ANLSBPP", it
                 if algo == "PGD":
                     xw, xh = gw_ / size + momentum_sign * momentum * dw, gh_ / size + momentum_sign * momentum * dh
                     t = np.sqrt((w**2).sum() + (h**2).sum())
+                    t = min(t, 4 * last) if last else t  # a line search begins near the last step that did
                 elif algo == "PGNCG":
                     xw, xh = _newton(gw_, gh_, w, h, alpha)
                     t = 1.0
@@ -102,6 +103,7 @@ def joint_nmf(a: DataFrame, s: DataFrame, k: int = 20, algo: str = "ANLSBPP", it
                     qa, qs = ah(nh), sh(nh)
                     new = objective(na, ns, alpha, nw, nh, qa, qs)
                     if new < cost:
+                        last = t
                         break
                     t /= 2
                 else:
