@@ -9,7 +9,7 @@ from tessella.llm.decontamination import decontaminate
 from tessella.llm.packing import pack_documents
 from tessella.llm.quality import fit_quality, keep_quality, train_rows
 from tessella.llm.secrets import redact
-from tessella.llm.simhash import drop_near_duplicates
+from tessella.llm.similar import drop_similar
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the least doc_id; parameters as in op2."""
-    return drop_near_duplicates(docs, width=3, most=3)
+    """One document of each group of near duplicates stays, that with the least doc_id: shingles of five words, similarity 0.8 or more."""
+    return drop_similar(docs, width=5, threshold=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
