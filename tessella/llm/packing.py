@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -46,22 +47,22 @@ def pack(docs: DataFrame, vocabulary: str, mode: str, end_id: int, longest: int
             for k in range(0, len(ids), 1024):
                 some = [t or "" for t in texts.slice(k, 1024).to_pylist()]
                 for a, b in groups(some):
-                    rows = []
+                    rows, codes = [], []
                     for doc_id, code in zip(ids[k + a : k + b], coder.encode(some[a:b]), strict=True):
                         code += end
+                        codes.append(code)
                         n, start = len(code) // 4, 0
                         for length in cuts(n, longest):
                             bucket = length.bit_length() - 1
                             piece = code[4 * start : 4 * (start + length)]
-                            row = (doc_id, start, length, zlib.crc32(piece), n, part | bucket << 34 | count[bucket], 0, bucket)
-                            rows.append((*row, memoryview(piece).cast("I").tolist()) if with_ids else row)
+                            rows.append((doc_id, start, length, zlib.crc32(piece), n, part | bucket << 34 | count[bucket], 0, bucket))
                             count[bucket] += 1
                             start += length
-                    columns = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 7 + [pa.int32()] + [pa.list_(pa.int32())] * with_ids, strict=True)],
-                        names=schema.names,
-                    )
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 7 + [pa.int32()], strict=True)]
+                    if with_ids:  # the pieces of a document follow each other, so they are its ids in order
+                        ends = np.cumsum([0, *(r[2] for r in rows)], dtype=np.int32)
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(codes), "<i4"))))
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -72,12 +73,12 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    """pack() with the parameters of production: public vocabulary byte_bpe_50k, end id 0, at most 1024 ids."""
+    """pack() with ids and the parameters of production: public vocabulary byte_bpe_50k, end id 0, at most 1024 ids."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "lead", 0)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "lead", 0, with_ids=True)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents packed; sequences have a power of two as their length, so none is padded."""
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """documents packed, the ids told by their checksums; sequences have a power of two as their length, so none is padded."""
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")
