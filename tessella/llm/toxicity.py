@@ -24,7 +24,7 @@ from tessella.llm.quality import labelled_sample
 
 #: Labelled documents that are learnt from, at most: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 8_000
-#: Words, stems and landmarks that come to the driver, at most.
+#: Words, units (words and stems) and landmarks that come to the driver, at most; selected toxic words are landmarks besides.
 WORDS, UNITS, LANDMARKS = 4_000, 400, 240
 BITS = 18
 DECAY = 0.6
@@ -204,7 +204,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str =
             return flat
         is_word = F.col("unit").startswith("=")
         near = F.col("unit").isin(own) | F.substring("unit", 2, 3).isin(sorted({s[:3] for s in stems}))
-        near_rows = units.where(is_word & near).orderBy(F.desc(F.col("t") + F.col("n")), "unit").limit(2 * WORDS).collect()
+        near_rows = units.where(is_word & near).orderBy(F.desc(F.col("t") + F.col("n")), "unit").limit(4 * WORDS).collect()
         clean_rows = units.where(is_word & ~near & (F.col("t") * n0 < 2 * (F.col("n") + 0.5) * n1))
         common = [r.unit[1:] for r in clean_rows.orderBy(F.desc("n"), "unit").limit(WORDS).collect()]
         common += [r.unit[1:] for r in clean_rows.orderBy(F.xxhash64("unit"), "unit").limit(WORDS).collect()]
@@ -218,11 +218,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str =
         good, bad = good[:WORDS], list(dict.fromkeys(bad + common))[: 3 * WORDS]
         if not good or not bad:
             return flat
-        spoilt = [s for w in sorted(own_set, key=lambda w: (len(w) < 4, w))[:60] if len(w) >= 4 for s in _spoilt(w)]
+        spoilt = [s for w in sorted(own_set) if len(w) >= 4 for s in _spoilt(w)]
         words = good + spoilt + bad
         y = np.array([1.0] * (len(good) + len(spoilt)) + [-1.0] * len(bad))
         weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * len(y) / 2
-        marks = list(dict.fromkeys(sorted(own_set)[: LANDMARKS // 3] + good[: LANDMARKS // 3] + bad[:: max(1, len(bad) // (LANDMARKS // 3))]))[:LANDMARKS]
+        others = list(dict.fromkeys(good[: LANDMARKS // 3] + bad[:: max(1, len(bad) // (LANDMARKS // 3))]))[: LANDMARKS - LANDMARKS // 3]
+        marks = list(dict.fromkeys(sorted(own_set) + others))  # UNITS bounds the toxic words
         k = np.stack([against(words + marks, embedded(w)) for w in marks], 1)  # a landmark's table at a time
         k, own_k = k[: len(words)], k[len(words) :]
         value, vector = np.linalg.eigh(own_k)
