@@ -1,10 +1,13 @@
 """Operator 10: benchmark decontamination by size-partitioned MinHash containment search.
 
 Test items are short and documents long, so resemblance says little and containment is wanted: the share of an item's
-shingles that the document holds. Items are partitioned by their number of shingles, in powers of two. An item of a
-class of at most u shingles is indexed by its m smallest hashes (its bottom-m MinHash sketch) with m = u - ceil(t u) + 1:
-if a document holds a share t of the item, it misses fewer than m shingles, so it holds one of the sketch. The search
-therefore loses nothing, and what it finds is verified by exact shingle containment on the words themselves.
+shingles that the document holds. Items are partitioned by their number of shingles, in powers of two, and each size class
+has an index of its own. In a class of at most u shingles an item is sketched by its m = u - ceil(t u) + 1 smallest hashes
+(bottom-m MinHash); a document is sketched for the class by its hashes up to the class's cutoff, the largest hash in any
+of its items' sketches. If a document holds a share t of an item of n shingles, it misses at most n - ceil(t n) of them, so
+at least m less that number stand in both sketches: a document with too few shingles for the class is not looked up in
+it at all, and an item of which fewer hashes are met is no candidate. The search loses nothing; what it finds is verified
+by exact shingle containment on the words themselves.
 """
 
 from __future__ import annotations
@@ -29,18 +32,48 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(PLAIN).split()
 
 
-def sketch_size(n: int, threshold: float) -> int:
-    """Hashes in the sketch of an item of n shingles, by the upper size of its class."""
-    upper = 1 << (n - 1).bit_length()
-    return min(n, upper - math.ceil(threshold * upper - 1e-9) + 1)
+def size_class(n: int) -> int:
+    """The greatest size of the class of an item of n shingles."""
+    return 1 << (n - 1).bit_length()
+
+
+def sketch_size(upper: int, threshold: float) -> int:
+    """Hashes in the sketches of a class."""
+    return upper - math.ceil(threshold * upper - 1e-9) + 1
+
+
+class SizeClass:
+    """The index of a size class: sketch hashes in order with their items, the documents' cutoff, and what is needed."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, int]], upper: int, threshold: float) -> None:
+        m = sketch_size(upper, threshold)
+        parts = [(h[:m], k, min(m, len(h)) - (len(h) - least)) for k, h, least in items]  # h is sorted
+        hashes, owner = np.concatenate([p[0] for p in parts]), np.repeat([p[1] for p in parts], [len(p[0]) for p in parts])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner = hashes[order], owner[order]
+        self.cutoff, self.fewest = self.hashes[-1], min(least for *_, least in items)
+        self.need = {k: n for _, k, n in parts}
+
+    def candidates(self, own: np.ndarray) -> list[int]:
+        """Items whose sketches hold enough of a document's hashes; own are its distinct hashes in order."""
+        if len(own) < self.fewest:
+            return []
+        sketch = own[: np.searchsorted(own, self.cutoff, "right")]
+        at = np.searchsorted(self.hashes, sketch)
+        hit = sketch[self.hashes[np.minimum(at, len(self.hashes) - 1)] == sketch]
+        if not len(hit):
+            return []
+        a, b = np.searchsorted(self.hashes, hit), np.searchsorted(self.hashes, hit, "right")
+        items, n = np.unique(np.concatenate([self.owner[x:y] for x, y in zip(a, b, strict=True)]), return_counts=True)
+        return [k for k, c in zip(items.tolist(), n.tolist(), strict=True) if c >= self.need[k]]
 
 
 class Items:
-    """A block of test items: sketches sorted by hash, and shingles for verification, by window length."""
+    """A block of test items: an index for each size class, and shingles for verification, by window length."""
 
     def __init__(self, rows: list[tuple[int, str]], threshold: float, width: int) -> None:
         self.items: list[tuple] = []
-        found: dict[int, list[tuple[int, int]]] = {}
+        found: dict[int, dict[int, list]] = {}
         for item_id, text in rows:
             words = words_of(text)
             w = min(width, len(words))
@@ -48,13 +81,10 @@ class Items:
                 continue
             h = np.unique(mix(window_hashes(word_hashes(words), w)))
             shingles = {b" ".join(words[i : i + w]) for i in range(len(words) - w + 1)}
-            k = len(self.items)
-            self.items.append((item_id, h, shingles, math.ceil(threshold * len(shingles) - 1e-9)))
-            found.setdefault(w, []).extend((int(x), k) for x in h[: sketch_size(len(h), threshold)])
-        self.index = {}
-        for w, pairs in found.items():
-            pairs.sort()
-            self.index[w] = (np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs]))
+            least = math.ceil(threshold * len(shingles) - 1e-9)
+            found.setdefault(w, {}).setdefault(size_class(len(h)), []).append((len(self.items), h, least))
+            self.items.append((item_id, h, shingles, least))
+        self.index = {w: [SizeClass(items, upper, threshold) for upper, items in sorted(classes.items())] for w, classes in found.items()}
 
     def search(self, text: str | None) -> list[tuple]:
         """(item_id, shingles, matched, containment, first word, last word) for each item found in a text."""
@@ -62,15 +92,10 @@ class Items:
         if not words:
             return []
         hashes, out = word_hashes(words), []
-        for w, (sketch, owner) in self.index.items():
+        for w, classes in self.index.items():
             h = mix(window_hashes(hashes, w))
-            at = np.searchsorted(sketch, h)
-            at[at == len(sketch)] = 0
-            hit = np.unique(h[sketch[at] == h])
-            if not len(hit):
-                continue
-            a, b = np.searchsorted(sketch, hit), np.searchsorted(sketch, hit, "right")
-            for k in sorted({int(owner[j]) for x, y in zip(a, b, strict=True) for j in range(x, y)}):
+            distinct = np.unique(h)
+            for k in sorted(k for c in classes for k in c.candidates(distinct)):
                 item_id, own, shingles, least = self.items[k]
                 places = np.flatnonzero(np.isin(h, own))
                 seen: dict[bytes, None] = {}
@@ -123,7 +148,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, widt
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5, text_col: str = "text") -> DataFrame:
-    """docs without the rows in whose text a test item is found; one pass for each block of items, no join."""
+    """docs without the rows in whose text a test item is found; one pass for each block of items, no join.
+
+    Null, empty and short texts hold no item and stay, as do null ids and repeated rows without an item; columns stay as
+    they are; an empty table of either kind takes nothing away.
+    """
     at = docs.columns.index(text_col)
     for held in blocks_of(items, threshold, width):
 

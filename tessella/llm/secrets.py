@@ -1,8 +1,9 @@
 """Operator 8: secrets, told apart by who owns them, in DataFrame functions only.
 
-Patterns find spans with known forms. The method adds opaque tokens - long, with letters and digits - and asks the whole
-corpus who uses each: hashes of values are counted by distinct repositories and owners. A value that many owners share is
-a copied example; one that a single owner, or few, have is live-looking, and its spans are added.
+Patterns find spans with known forms, and opaque tokens - long, with letters and digits - are candidates besides. The
+method asks the whole corpus who uses the value of each candidate: hashes of values are aggregated by distinct
+repositories and owners. A value of many owners or repositories is a copied example; one that few have is live-looking.
+Every span of a known form is listed with its class, and live-looking opaque spans are added.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ _QUICK = {
     "access": r"AKIA[A-Z0-9]{12}",
     "hex": r"[0-9a-f]{32}",
 }
-#: Opaque tokens: letters and digits mixed, this long at least.
-OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[0-9+/_-]{0,40}[A-Za-z])[A-Za-z0-9+/_-]{20,}"
-#: A value is live-looking if at most so many owners have it.
-OWNERS = 2
+#: Opaque tokens: letters and digits mixed, this long at least. It begins where a token begins, so it is tried once a token.
+OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}"
+#: A value is live-looking if at most so many owners and repositories have it, else a copied example.
+OWNERS, REPOS = 2, 4
 
 
 def _spans(text: Column, kind: str, pattern: str, least: int, group: int) -> Column:
@@ -75,42 +76,55 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repo: str = "lang", owners: int = OWNERS) -> DataFrame:
-    """doc_id, row, base, added (spans as array of start, rank, kind, end, value) of every row of docs.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: str = "source", repo: str = "lang", owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
+    """doc_id, row, base, spans of every row of docs; spans: start, rank, kind, end, value, n_repos, n_owners, live.
 
-    owner names the column of owners; a repository is an owner's value of repo. Null owners are one owner. Spans of the
-    method that lie within a base span are not added. Null texts are empty; null ids and repeated rows stay.
+    base holds the spans of known forms, spans these and live-looking opaque ones that lie within none of them, by start.
+    owner names the column of owners; a repository is an owner's value of repo. Null owners are one owner, and so are null
+    repositories of an owner. Null and empty texts have no span; null ids and repeated rows stay, each with its spans; other
+    columns are not read; an empty table gives no row.
     """
     found = base_spans(docs, id_col, text_col, F.concat_ws("/", owner, repo), F.col(owner))
-    return scan_found(written(found, "secret-spans"), owners)
+    return scan_found(written(found, "secret-spans"), owners, repos)
 
 
-def scan_found(found: DataFrame, owners: int = OWNERS) -> DataFrame:
+def scan_found(found: DataFrame, owners: int = OWNERS, repos: int = REPOS) -> DataFrame:
     """The second half of scan(), from the table of spans."""
-    each = found.where(F.size("opaque") > 0).select("doc_id", "row", "owner", "repo", "base", F.explode("opaque").alias("s"))
+    each = found.where((F.size("base") > 0) | (F.size("opaque") > 0)).select("doc_id", "row", "owner", "repo", "base", F.explode(F.concat("base", "opaque")).alias("s"))
     each = each.withColumn("hash", F.sha2(F.col("s.value"), 256))
-    live = ownership(each).where(F.col("n_owners") <= owners).select("hash")
+    told = each.join(ownership(each), "hash").withColumn("live", (F.col("n_owners") <= owners) & (F.col("n_repos") <= repos))
     within = F.exists("base", lambda b: (b["start"] <= F.col("s.start")) & (b["end"] >= F.col("s.end")))
-    added = each.where(~within).join(live, "hash", "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_hit")).agg(F.collect_set("s").alias("added"))
-    out = found.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_hit")), "left")
-    return out.select("doc_id", "row", "base", F.coalesce("added", F.array().cast(_TYPE)).alias("added"))
+    listed = told.where((F.col("s.kind") != "opaque") | (F.col("live") & ~within))
+    span = F.struct("s.start", "s.rank", "s.kind", "s.end", "s.value", "n_repos", "n_owners", "live")
+    spans = listed.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_hit")).agg(F.sort_array(F.collect_set(span)).alias("spans"))
+    out = found.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_hit")), "left")
+    return out.select("doc_id", "row", "base", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)).alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, classes (live or copied, in the order of spans), n_live and
+    n_copied of every row."""
     kinds = F.transform("base", lambda s: s["kind"])
     n = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k, *_ in KINDS]
-    return scanned.select("doc_id", *n, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", "added")).alias("spans"))
+    live = F.size(F.filter("spans", lambda s: s["live"]))
+    classes = F.array_join(F.transform("spans", lambda s: F.when(s["live"], F.lit("live")).otherwise(F.lit("copied"))), ",")
+    return scanned.select(
+        "doc_id", *n, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), classes.alias("classes"), live.cast("long").alias("n_live"), (F.size("spans") - live).cast("long").alias("n_copied")
+    )
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", owner: str = "source", repo: str = "lang") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", owner: str = "source", repo: str = "lang", keep_copied: bool = False) -> DataFrame:
     """docs with the text of every span replaced by mark and n_chars counted anew where a text changed; no row goes.
 
-    Base spans go whatever their owners, opaque ones if they are live-looking.
+    Spans of known forms go whatever their owners, opaque ones if they are live-looking; with keep_copied only
+    live-looking spans go. Null and empty texts, texts without a span, null ids and repeated rows stay as they are; an
+    empty table stays empty.
     """
     rows = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    hits = scan(docs, owner=owner, repo=repo).where((F.size("base") > 0) | (F.size("added") > 0))
-    hits = hits.select(F.col("doc_id").alias("_id"), F.col("row").alias("_hit"), F.array_sort(F.concat("base", "added")).alias("_spans")).dropDuplicates(["_id", "_hit"])
+    hits = scan(docs, owner=owner, repo=repo)
+    if keep_copied:
+        hits = hits.withColumn("spans", F.filter("spans", lambda s: s["live"]))
+    hits = hits.where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("row").alias("_hit"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_hit"])
     out = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hit")), "left")
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
     step = lambda a, s: F.struct(

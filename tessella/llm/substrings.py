@@ -1,14 +1,19 @@
 """Operator 9: passages that repeat, by windows of doubling length.
 
 Level 1 takes windows of half the wanted length. Of these only the minimiser of each full window is indexed: two equal
-full windows choose the same one, so nothing is lost and a sixth of the rows suffices. Windows repeated at that length
-alone are extended to twice the length: around each, the full windows whose minimiser it is are hashed and grouped, and
-those that started earlier elsewhere mark their words. What is removed depends on that length alone; repeat_lengths() goes
-on to twice, four times ... the length until no candidate survives.
+full windows choose the same one, so nothing is lost and a sixth of the rows suffices. Windows repeated at one length
+alone are extended to twice that length: of the windows of twice the length whose minimiser repeats - from the second
+step on all windows of half their length in them - hashes are grouped by that minimiser, and those that occur more than
+once go on to the next length, until no candidate survives. Windows that started earlier elsewhere are marked: those of
+the wanted length mark the words that go, the longer ones tell how far a document's repeats reach.
 
 Every exchange is combined before it is shuffled: within a batch only the first of equal windows is sent to meet others,
 the rest are known to repeat and go their own way by document, so a passage that a third of all documents share puts no
-more than a row for each batch on one task. Whole copies of a document are told by a hash of all its words.
+more than a row for each batch on one task. The same holds for whole copies of a document: a task sends the first it meets,
+the later ones are known and are not cut into windows at all.
+
+Each word has two hashes of 64 bits. Minimisers come from the first and windows from the second, so windows taken for equal
+agree in both; whole copies agree in 128 bits of all their words.
 """
 
 from __future__ import annotations
@@ -22,26 +27,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm._session import written
-from tessella.llm._words import mix, window_hashes, word_hashes
+from tessella.llm._words import mix, window_hashes
 
 _LOWEST = -(1 << 63)
-#: Documents of a batch within which equal windows are combined.
-ROWS = 2048
+#: Documents of a batch within which equal windows are combined, and whole texts that a task remembers at a time.
+ROWS, WHOLES = 2048, 200_000
+#: Windows of one entry: as many bits as its masks have.
+BITS = 31
+_FLAGS = "doc_id long, row long, start int, later int, again int"
 
 
 def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
+def word_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each word, which are halves of one of 128 bits."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 def minimisers(h: np.ndarray, n: int) -> np.ndarray:
     """For each n values in a row the position of the least (the first of equal ones)."""
     out = []
     for i in range(0, max(0, len(h) - n + 1), 1 << 16):
         part = h[i : min(len(h), i + (1 << 16) + n - 1)]
-        out.append(np.lib.stride_tricks.sliding_window_view(part, n).argmin(1) + np.arange(i, i + len(part) - n + 1))
+        if n <= 64:
+            out.append(np.lib.stride_tricks.sliding_window_view(part, n).argmin(1) + np.arange(i, i + len(part) - n + 1))
+        else:
+            out.append(_long_minimisers(part, n) + i)
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def _long_minimisers(h: np.ndarray, n: int) -> np.ndarray:
+    """minimisers() by doubling: the least of 2, 4, 8 .. values, then of two overlapping stretches."""
+    at, size = np.arange(len(h)), 1
+    while 2 * size <= n:
+        a, b = at[:-size], at[size:]
+        at, size = np.where(h[b] < h[a], b, a), 2 * size
+    a, b = at[: len(h) - n + 1], at[n - size : len(h) - size + 1]
+    return np.where(h[b] < h[a], b, a)
+
+
 def _firsts(order: list[np.ndarray]) -> np.ndarray:
     """True where a row of sorted columns differs from the row before."""
     if not len(order[0]):
@@ -53,67 +80,84 @@ def _firsts(order: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-def _whole(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words), 9)
+def _whole(words: list[bytes]) -> tuple[int, int]:
+    """128 bits of all words as two signed longs."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words), 9), "<i8").tolist())
+
+
+def _route(doc_ids: np.ndarray) -> np.ndarray:
+    return mix(doc_ids.astype(np.int64).view(np.uint64)).view(np.int64)
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """route, doc_id, code: minimisers of length // 2 words, and as position -1 the hash of all words.
+    """route, doc_id, code, whole: minimisers of length // 2 words, and as position -1 the hash of all words.
 
-    route is the hash, or for an anchor known to repeat a hash of its document; code is 4 * position, plus 2 for an
-    anchor that equals an earlier one of its batch, plus 1 for one that a later one equals.
+    route is the hash, or for what is known to repeat a hash of its document; code is 4 * position, plus 2 for an anchor
+    that equals an earlier one of its batch or a copy of a whole document that the task has met, plus 1 for an anchor that
+    a later one equals. whole is the second half of the hash of all words.
     """
     half = length // 2
 
     def run(batches):
+        met: dict = {}  # whole texts, with the least document that has them
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
-                hs, ds, ps = [], [], []
+                hs, ds, ps, alone = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
                 for j in range(k, min(batch.num_rows, k + ROWS), 128):
                     part = batch.slice(j, min(128, k + ROWS - j))
                     for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                         words = split_words(text)
                         if len(words) < length:
                             continue
-                        h = mix(window_hashes(word_hashes(words), half))
+                        whole = _whole(words)
+                        first = met.get(whole)
+                        if first is not None and first <= doc_id:
+                            if first < doc_id:
+                                alone.append((None, doc_id, -2, whole[1]))
+                            continue
+                        if len(met) >= WHOLES:
+                            met.clear()
+                        met[whole] = doc_id
+                        alone.append((whole[0], doc_id, -4, whole[1]))
+                        h = mix(window_hashes(word_pairs(words)[0], half))
                         at = np.unique(minimisers(h, length - half + 1))
-                        hs += [h[at], np.array([_whole(words)], np.uint64)]
-                        ps += [at, np.array([-1])]
-                        ds.append(np.full(len(at) + 1, doc_id))
-                if not hs:
-                    continue
+                        hs.append(h[at]), ps.append(at), ds.append(np.full(len(at), doc_id))
                 h, d, p = np.concatenate(hs).view(np.int64), np.concatenate(ds), np.concatenate(ps)
                 order = np.lexsort((p, d, h))
                 h, d, p = h[order], d[order], p[order]
                 first = _firsts([h])
-                known, more = ~first & (p >= 0), np.append(~first[1:], False) & (p >= 0)
-                route = np.where(known, mix(d.view(np.uint64)).view(np.int64), h)  # whole copies all meet: there are few of them
-                yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(d), pa.array(4 * p + 2 * known + more)], names=["route", "doc_id", "code"])
+                code = 4 * p + 2 * ~first + np.append(~first[1:], False)[: len(h)]
+                if alone:
+                    own = np.array([x[1] for x in alone], np.int64)
+                    h = np.concatenate([np.where(first, h, _route(d)), [r if x[0] is None else x[0] for x, r in zip(alone, _route(own).tolist(), strict=True)]])
+                    d, code = np.concatenate([d, own]), np.concatenate([code, [x[2] for x in alone]])
+                    whole = np.concatenate([np.zeros(len(h) - len(own), np.int64), np.array([x[3] for x in alone], np.int64)])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h, d, code, whole)], names=["route", "doc_id", "code", "whole"])
 
-    return docs.mapInArrow(run, "route long, doc_id long, code long")
+    return docs.mapInArrow(run, "route long, doc_id long, code long, whole long")
 
 
 def _repeated(anchors: DataFrame) -> DataFrame:
     """doc_id and spot of the anchors that occur more than once: a position, or for a later copy of a whole document
-    -1 - its order is told by doc_id - with the hash of its words in whole."""
+    -1 - its order is told by doc_id - with the second half of the hash of its words."""
 
     def run(batches):
-        route, first, wait = None, None, None  # the run that goes on: its hash, its first document, its first row if still alone
+        route, first, wait = None, None, None  # the run that goes on: its hashes, its first document, its first row if still alone
         for batch in batches:
             docs, spots, wholes = [], [], []
-            for h, d, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for h, d, code, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 pos = code >> 2
-                if code & 2 and pos >= 0:
-                    docs.append(d), spots.append(pos), wholes.append(0)
+                if code & 2:
+                    docs.append(d), spots.append(pos), wholes.append(whole)
                     continue
-                if h != route or (pos < 0) != (first[1] < 0):
-                    route, first, wait = h, (d, pos), (d, pos)
+                if (h, whole, pos < 0) != route:
+                    route, first, wait = (h, whole, pos < 0), d, (d, pos)
                     if code & 1 and pos >= 0:
                         docs.append(d), spots.append(pos), wholes.append(0)
                         wait = None
                 elif pos < 0:
-                    if d > first[0]:
-                        docs.append(d), spots.append(-1), wholes.append(h)
+                    if d > first:
+                        docs.append(d), spots.append(-1), wholes.append(whole)
                 else:
                     if wait:
                         docs.append(wait[0]), spots.append(wait[1]), wholes.append(0)
@@ -122,15 +166,27 @@ def _repeated(anchors: DataFrame) -> DataFrame:
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spots, pa.int32()), pa.array(wholes, pa.int64())], names=["doc_id", "spot", "whole"])
 
-    rows = anchors.repartition("route").sortWithinPartitions("route", F.expr("code >= 0"), "doc_id", "code")
+    rows = anchors.repartition("route").sortWithinPartitions("route", F.expr("code >= 0"), "whole", "doc_id", "code")
     return rows.mapInArrow(run, "doc_id long, spot int, whole long")
 
 
-def _windows(docs: DataFrame, length: int) -> DataFrame:
-    """route, doc_id, row, start, known, hashes: the full windows around each repeated anchor, which start in a row.
+def _marked(packed: list[int], n: int) -> np.ndarray:
+    """True at the n places that entries (start and mask in one number) have bits for."""
+    out = np.zeros(n + BITS, bool)
+    x = np.array(packed, np.int64)
+    start, mask = x >> BITS, x & (1 << BITS) - 1
+    for i in range(BITS):
+        some = start[mask >> i & 1 > 0]
+        out[some[some < n] + i] = True
+    return out[:n]
 
-    Bit i of known tells that window i equals an earlier one of its batch; an entry of which all are known has no hashes
-    and is routed by its document, any other by its anchor's hash.
+
+def _windows(docs: DataFrame, length: int, first: bool) -> DataFrame:
+    """route, doc_id, row, start, known, again, hashes: the windows of a length that may repeat, from (doc_id, row, text, hot).
+
+    hot tells which windows of half the length repeat; at the first step only minimisers do. Windows of one minimiser that
+    start in a row are an entry. Bit i of known tells that window i equals an earlier one of its batch, of again that it
+    equals any; an entry of which all are known has no hashes and is routed by its document, any other by its minimiser.
     """
     half = length // 2
 
@@ -140,65 +196,88 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
                 keys, hs, ds, rs, ss, es = [], [], [], [], [], []
                 for j in range(k, min(batch.num_rows, k + ROWS), 128):
                     part = batch.slice(j, min(128, k + ROWS - j))
-                    for doc_id, row, text, spots in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                        words = word_hashes(split_words(text))
+                    for doc_id, row, text, hot in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                        words = split_words(text)
                         if len(words) < length:
                             continue
-                        anchor = mix(window_hashes(words, half))
-                        at = minimisers(anchor, length - half + 1)
-                        hot = np.zeros(len(anchor), bool)
-                        hot[[s for s in spots if 0 <= s < len(anchor)]] = True
-                        start = np.flatnonzero(hot[at])
-                        keys.append(anchor[at[start]]), hs.append(window_hashes(words, length)[start]), ss.append(start), es.append(at[start])
+                        hot = _marked(hot, len(words) - half + 1)
+                        span = length - half + 1
+                        if not first:
+                            total = np.concatenate([[0], np.cumsum(hot)])
+                            start = np.flatnonzero(total[span:] - total[:-span] == span)
+                            if not len(start):
+                                continue
+                        one, two = word_pairs(words)
+                        anchor = mix(window_hashes(one, half))
+                        at = minimisers(anchor, span)
+                        if first:
+                            start = np.flatnonzero(hot[at])
+                        keys.append(anchor[at[start]]), hs.append(window_hashes(two, length)[start]), ss.append(start), es.append(at[start])
                         ds.append(np.full(len(start), doc_id)), rs.append(np.full(len(start), row))
                 if not keys or not sum(map(len, keys)):
                     continue
                 key, h, d, r, s, e = (np.concatenate(x) for x in (keys, hs, ds, rs, ss, es))
                 d, r, s = d.astype(np.int64), r.astype(np.int64), s.astype(np.int64)
                 order = np.lexsort((s, d, h, key))
-                first = _firsts([key[order], h[order]])
-                lead = order[np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
-                later = np.zeros(len(h), bool)
+                fresh = _firsts([key[order], h[order]])
+                lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))]
+                later, more = np.zeros(len(h), bool), np.zeros(len(h), bool)
                 later[order] = (d[order] > d[lead]) | (d[order] == d[lead]) & (s[order] > s[lead])
+                more[lead[later[order]]] = True
                 new = _firsts([d, r, e]) | np.append(True, s[1:] != s[:-1] + 1)
                 begin = np.flatnonzero(new)
-                end = np.append(begin[1:], len(h))
-                mask = np.add.reduceat(later.astype(np.int64) << (np.arange(len(h)) - begin[np.cumsum(new) - 1]), begin)
-                full = mask == (1 << (end - begin)) - 1
+                place = np.arange(len(h)) - begin[np.cumsum(new) - 1]
+                begin = np.flatnonzero(place % BITS == 0)  # long entries in parts
+                end, place = np.append(begin[1:], len(h)), place % BITS
+                known, again = (np.add.reduceat(x.astype(np.int64) << place, begin) for x in (later, later | more))
+                full = known == (1 << (end - begin)) - 1
                 raw = h.tobytes()
-                route = np.where(full, mix(d[begin].view(np.uint64)), key[begin]).view(np.int64)
+                route = np.where(full, _route(d[begin]).view(np.uint64), key[begin]).view(np.int64)
                 hashes = [b"" if f else raw[8 * x : 8 * y] for f, x, y in zip(full, begin, end, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(route), pa.array(d[begin]), pa.array(r[begin]), pa.array(s[begin].astype(np.int32)), pa.array(mask.astype(np.int32)), pa.array(hashes, pa.binary())],
-                    names=["route", "doc_id", "row", "start", "known", "hashes"],
+                    [pa.array(route), pa.array(d[begin]), pa.array(r[begin]), *(pa.array(x.astype(np.int32)) for x in (s[begin], known, again)), pa.array(hashes, pa.binary())],
+                    names=["route", "doc_id", "row", "start", "known", "again", "hashes"],
                 )
 
-    return docs.mapInArrow(run, "route long, doc_id long, row long, start int, known int, hashes binary")
+    return docs.mapInArrow(run, "route long, doc_id long, row long, start int, known int, again int, hashes binary")
 
 
 def _judged(entries: DataFrame) -> DataFrame:
-    """doc_id, row, start, mask: windows whose words started earlier; entries come by anchor and in document order, so
-    the first of equal windows is met first."""
+    """doc_id, row, start, later, again: of an entry's windows those whose words started earlier, and those whose words
+    occur more than once; entries come by minimiser and in document order, so the first of equal windows is met first."""
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
 
     def run(batches):
-        route, seen = None, {}
+        route, seen, open_ = None, {}, []  # of the minimiser that goes on: windows with their first place, entries with first ones
         for batch in batches:
             out = []
-            for key, d, r, start, mask, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, d, r, start, later, again, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if hashes:
                     if key != route:
-                        route, seen = key, {}
+                        out += (x for x in open_ if x[4])
+                        route, seen, open_ = key, {}, []
+                    entry, fresh = [d, r, start, later, again], False
                     for i, h in enumerate(memoryview(hashes).cast("Q")):
-                        at = (d, start + i)
-                        if seen.setdefault(h, at) < at:
-                            mask |= 1 << i
-                if mask:
-                    out.append((d, r, start, mask))
+                        was = seen.get(h)
+                        if was is None:
+                            seen[h], fresh = (entry, i), True
+                        elif (was[0][0], was[0][2] + was[1]) < (d, start + i):
+                            was[0][4] |= 1 << was[1]
+                            entry[3] |= 1 << i
+                            entry[4] |= 1 << i
+                    if fresh:
+                        open_.append(entry)
+                    elif entry[4]:
+                        out.append(entry)
+                else:
+                    out.append((d, r, start, later, again))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "row", "start", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "row", "start", "later", "again"])
+        if out := [x for x in open_ if x[4]]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "row", "start", "later", "again"])
 
     rows = entries.repartition("route").sortWithinPartitions("route", "doc_id", "start")
-    return rows.mapInArrow(run, "doc_id long, row long, start int, mask int")
+    return rows.mapInArrow(run, _FLAGS)
 
 
 def _digest(words: list[bytes]) -> str:
@@ -206,118 +285,97 @@ def _digest(words: list[bytes]) -> str:
 
 
 def _cut(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, row, n_removed, kept (text) of documents with windows that repeat; flags null: a later whole copy."""
+    """doc_id, row, n_removed, longest, kept (text) of documents with windows that started earlier; flags null: a later
+    whole copy."""
 
     def run(batches):
         for batch in batches:
             out = []
             for k in range(0, batch.num_rows, 128):
-                for doc_id, row, text, flags in zip(*(batch.slice(k, 128).column(i).to_pylist() for i in range(4)), strict=True):
+                for doc_id, row, text, longest, flags in zip(*(batch.slice(k, 128).column(i).to_pylist() for i in range(5)), strict=True):
                     words = split_words(text)
-                    edge = np.zeros(len(words) + 1, np.int64)
                     if flags is None:
-                        edge[0] = 1
+                        n, kept, longest = len(words), [], length * (1 << (len(words) // length).bit_length() - 1)
                     else:
-                        for f in flags:
-                            for i in range(f["mask"].bit_length()):
-                                if f["mask"] >> i & 1:
-                                    edge[f["start"] + i] += 1
-                                    edge[f["start"] + i + length] -= 1
-                    gone = np.cumsum(edge)[:-1] > 0
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    out.append((doc_id, row, int(gone.sum()), b" ".join(kept).decode("utf-8")))
+                        starts = np.flatnonzero(_marked(flags, len(words) - length + 1))
+                        edge = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(edge, starts, 1), np.add.at(edge, starts + length, -1)
+                        gone = np.cumsum(edge)[:-1] > 0
+                        n, kept = int(gone.sum()), [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                    out.append((doc_id, row, n, longest, b" ".join(kept).decode("utf-8")))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "row", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "row", "n_removed", "longest", "kept"])
+
+    return docs.mapInArrow(run, "doc_id long, row long, n_removed long, longest long, kept string")
 
-    return docs.mapInArrow(run, "doc_id long, row long, n_removed long, kept string")
+
+def _levels(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(marks, longest) of (doc_id, row, text, hot): doc_id, row, flags of documents with windows of the length that started
+    earlier, and doc_id, row, longest: the greatest of length, twice length .. of which some window started earlier."""
+    packed = lambda c: F.when(F.col(c) != 0, F.shiftleft(F.col("start").cast("long"), BITS) + F.col(c))
+    marks = reach = None
+    level = length
+    while True:
+        found = _judged(_windows(docs.select("doc_id", "row", "text", "hot"), level, level == length))
+        found = found.groupBy("doc_id", "row").agg(F.collect_set(packed("later")).alias("flags"), F.collect_set(packed("again")).alias("hot"), F.sum(F.bit_count("again")).alias("n"))
+        found = written(found, "repeats")
+        told = found.where(F.size("flags") > 0).select("doc_id", "row", F.lit(level).cast("long").alias("longest"))
+        marks = found.where(F.size("flags") > 0).select("doc_id", "row", "flags") if marks is None else marks
+        reach = told if reach is None else reach.unionByName(told)
+        # a window of twice the length has level + 1 of this one in it
+        alive = found.where(F.col("n") > level).select("doc_id", "row", "hot")
+        if alive.isEmpty():
+            return marks, reach.groupBy("doc_id", "row").agg(F.max("longest").alias("longest"))
+        docs, level = written(docs.select("doc_id", "row", "text").join(alive, ["doc_id", "row"]), "survivors"), 2 * level
 
 
 def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, changed). rows: doc_id, row, text of every row of docs, row being a hash that tells texts of one id apart.
-    changed: doc_id, row, n_removed and kept (the words that stay, joined by blanks) of the documents that lose words.
+    """(rows, changed). rows: doc_id, row, text, empty_id of every row of docs, row being a hash that tells texts of one id
+    apart. changed: doc_id, row, n_removed, longest and kept (the words that stay, joined by blanks) of the documents that
+    lose words; longest is the greatest of length, twice length, four times .. of which a window started earlier.
 
     A word goes if a window of `length` words that covers it starts earlier too: in a smaller doc_id, or earlier in the
-    same document. Null ids come first. Rows with equal id and text stand at one place, so neither is the earlier one;
-    rows with equal id and other texts are compared by where the window starts. Null and short texts lose nothing.
+    same document. Null ids come first, where the least long stands. Rows with equal id and text stand at one place, so
+    neither is the earlier one; rows with equal id and other texts are compared by where the window starts. Null, empty
+    and short texts lose nothing; other columns are not read; an empty table gives no row.
     """
     if length < 2 or length > 40 or length % 2:
         raise ValueError("length must be even, from 2 to 40")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spots = _repeated(_anchors(rows.select("doc_id", "text"), length)).groupBy("doc_id").agg(F.collect_list(F.when(F.col("spot") >= 0, F.col("spot"))).alias("spots"), F.collect_set(F.when(F.col("spot") < 0, F.col("whole"))).alias("wholes"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("doc_id"), F.xxhash64(F.col(text_col), F.col(id_col).isNull()).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).isNull().alias("empty_id"))
+    spots = _repeated(_anchors(rows.select("doc_id", "text"), length)).groupBy("doc_id").agg(
+        F.collect_list(F.when(F.col("spot") >= 0, F.shiftleft(F.col("spot").cast("long"), BITS) + 1)).alias("hot"), F.collect_set(F.when(F.col("spot") < 0, F.col("whole"))).alias("wholes")
+    )
     spots = written(spots, "repeated-anchors")
-    some = written(rows.join(spots, "doc_id"), "documents-with-repeats")
+    some = written(rows.select("doc_id", "row", "text").dropDuplicates(["doc_id", "row"]).join(spots, "doc_id"), "documents-with-repeats")
 
     def whole(batches):
         for batch in batches:
             column = batch.column(2)
-            keep = [bool(w) and _signed(_whole(split_words(t))) in w for w, t in zip(batch.column(4).to_pylist(), column.to_pylist(), strict=True)]
+            keep = [bool(w) and _whole(split_words(t))[1] in w for w, t in zip(batch.column(4).to_pylist(), column.to_pylist(), strict=True)]
             yield batch.append_column("copy", pa.array(keep, pa.bool_()))
 
-    schema = "doc_id long, row long, text string, spots array<int>, wholes array<long>, copy boolean"
-    told = some.mapInArrow(whole, schema)
-    copies = told.where("copy").select("doc_id", "row", "text", F.lit(None).cast("array<struct<start:int,mask:int>>").alias("flags"))
-    entries = _windows(told.where("NOT copy").select("doc_id", "row", "text", "spots"), length)
-    flags = written(_judged(entries).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "mask")).alias("flags")), "repeats")
-    marked = told.where("NOT copy").select("doc_id", "row", "text").join(flags, ["doc_id", "row"])
-    return rows, _cut(copies.unionByName(marked), length)
-
-
-def repeat_lengths(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, spot, length: how far the repeats at anchors go.
-
-    Anchors repeated at length // 2 are tried at length, those repeated there at twice that, and so on until no candidate
-    survives; the last length at which an anchor's window repeats is returned. Windows are counted before the shuffle, and
-    only survivors come back to their documents. Ids and texts are treated as in remove_repeats().
-    """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    alive = _repeated(_anchors(rows.select("doc_id", "text"), length)).where("spot >= 0").select("doc_id", "spot")
-    # a whole copy has the anchors of its first document, which repeat as well
-    found, level = None, length
-    while True:
-        spots = alive.groupBy("doc_id").agg(F.collect_set("spot").alias("spots"))
-
-        def hashed(batches, level=level):
-            for batch in batches:
-                ds, rs, ps, hs = [], [], [], []
-                for k in range(0, batch.num_rows, 128):
-                    for doc_id, row, text, at in zip(*(batch.slice(k, 128).column(i).to_pylist() for i in range(4)), strict=True):
-                        h = window_hashes(word_hashes(split_words(text)), level)
-                        p = np.array(sorted(x for x in at if x < len(h)), np.int64)
-                        ds.append(np.full(len(p), doc_id, np.int64)), rs.append(np.full(len(p), row, np.int64)), ps.append(p), hs.append(h[p].view(np.int64))
-                if ds:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ds, rs, ps, hs)], names=["doc_id", "row", "spot", "h"])
-
-        windows = written(rows.join(spots, "doc_id").mapInArrow(hashed, "doc_id long, row long, spot long, h long"), "windows")
-        again = windows.groupBy("h").count().where("count > 1").select("h")
-        alive = written(windows.join(again, "h", "left_semi").select("doc_id", "row", "spot"), "survivors")
-        if alive.isEmpty():
-            break
-        one = alive.withColumn("length", F.lit(level))
-        found = one if found is None else found.unionByName(one)
-        alive, level = alive.select("doc_id", "spot"), 2 * level
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, row long, spot long, length int")
-    return found.groupBy("doc_id", "row", "spot").agg(F.max("length").alias("length"))
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+    told = some.mapInArrow(whole, "doc_id long, row long, text string, hot array<long>, wholes array<long>, copy boolean")
+    copies = told.where("copy").select("doc_id", "row", "text", F.lit(0).cast("long").alias("longest"), F.lit(None).cast("array<long>").alias("flags"))
+    marks, longest = _levels(told.where("NOT copy"), length)
+    marked = some.select("doc_id", "row", "text").join(longest.join(marks, ["doc_id", "row"]), ["doc_id", "row"])
+    return rows, _cut(copies.unionByName(marked.select(*copies.columns)), length)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents, windows of 20 words."""
+    """documents, windows of 20 words; longest is the greatest length tried (20, 40, 80 ..) at which a window of the document
+    starts earlier too, 0 if none does."""
     rows, changed = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
     def digest(batches):
         for batch in batches:
             n, sums = [], []
             for k in range(0, batch.num_rows, 128):
-                for text in batch.column(2).slice(k, 128).to_pylist():
+                for text in batch.column(3).slice(k, 128).to_pylist():
                     words = split_words(text)
                     n.append(len(words)), sums.append(_digest(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums)], names=["doc_id", "row", "n_words", "own"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(sums)], names=["doc_id", "row", "empty_id", "n_words", "own"])
 
-    every = rows.mapInArrow(digest, "doc_id long, row long, n_words long, own string")
-    less = written(changed.select("doc_id", "row", "n_removed", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["doc_id", "row"]), "changed")
+    every = rows.select("doc_id", "row", "empty_id", "text").mapInArrow(digest, "doc_id long, row long, empty_id boolean, n_words long, own string")
+    less = written(changed.select("doc_id", "row", "n_removed", "longest", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["doc_id", "row"]), "changed")
     out = every.join(less, ["doc_id", "row"], "left")
-    return out.select(F.when(F.col("doc_id") != _LOWEST, F.col("doc_id")).alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))
+    return out.select(F.when(~F.col("empty_id"), F.col("doc_id")).alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("longest", F.lit(0)).cast("long").alias("longest"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))

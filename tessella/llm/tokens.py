@@ -24,6 +24,8 @@ CACHE_CHARS = 40
 CUT = "\ue001"
 #: A stop or comma before a blank is a pre-token of its own, unless another sign stands before it.
 ODD_STOP = re.compile(r"[.,](?<=(?:[^\w \n]|_)[.,])\s|^[.,]")
+#: Where a blank belongs to the sign after it, one before the stop counts as well.
+ODD_LEAD = re.compile(r"[.,](?<=(?:[^\w\n]|_)[.,])\s|^[.,]")
 #: A word, perhaps after a blank, and ASCII signs other than the apostrophe after it.
 WORD = re.compile(r"( ?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 #: Blanks in a row are shared out among pre-tokens in another way.
@@ -34,7 +36,7 @@ _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <=
 _OTHERS = [b for b in range(256) if b not in _PRINTED]
 BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
 
-_ENCODERS: dict[tuple[str, str], "Encoder"] = {}
+_ENCODERS: dict[tuple[str, str, bool], "Encoder"] = {}
 
 
 class Encoder:
@@ -42,22 +44,38 @@ class Encoder:
 
     mode "drop": white space is dropped by the tokenizer, any blank is a cut.
     mode "lead": a blank belongs to the part after it; a cut stands before a blank that follows a non-blank.
+    The spelling of a special token in a text gives that token's id, as the library does by itself; with special_as_text
+    it is ordinary text.
     """
 
-    def __init__(self, path: str, mode: str) -> None:
+    def __init__(self, path: str, mode: str, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {} if special_as_text else {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = added
+        self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.tokenizer.encode_special_tokens = True  # what is left between special tokens is ordinary text, lowered or not
         self.mode = mode
-        self.known: dict[str, bytes] = {}
+        #: Ids by part; a special token is a part that is its id, and these stand first, so they are never forgotten.
+        self.known: dict[str | int, bytes] = {i: i.to_bytes(4, "little") for i in added.values()}
         #: The same merges without normaliser and pattern, for words that need neither.
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = WhitespaceSplit()
         (self.line_end,) = self.plain.encode(BYTES[10], add_special_tokens=False).ids
 
-    def parts(self, text: str) -> list[str]:
+    def parts(self, text: str) -> list[str | int]:
+        """A text in parts whose ids follow each other; a special token's spelling is a part of its own, its id."""
+        if self.special and self.special.search(text):
+            out, at = [], 0
+            for m in self.special.finditer(text):
+                out += [*self._parts(text[at : m.start()]), self.added[m[0]]]
+                at = m.end()
+            return out + self._parts(text[at:])
+        return self._parts(text)
+
+    def _parts(self, text: str) -> list[str]:
         if self.mode == "drop":
             text = text.replace("\n", " ")
             if "\u03a3" not in text:  # the one letter whose lower case depends on its place
@@ -65,7 +83,7 @@ class Encoder:
                 if not ODD_STOP.search(text):
                     text = text.replace(", ", " , ").replace(". ", " . ")
             return text.split(" ")
-        if ODD_BLANK.search(text) or ODD_STOP.search(text) or CUT in text:
+        if ODD_BLANK.search(text) or ODD_LEAD.search(text) or CUT in text:
             return re.split(r"(?<=\S)(?= )", text)
         text = text.replace(" ", CUT + " ").replace("\n", f"{CUT}\n{CUT}")
         return text.replace("," + CUT, f"{CUT},{CUT}").replace("." + CUT, f"{CUT}.{CUT}").split(CUT)
@@ -117,11 +135,12 @@ class Encoder:
                 yield p, np.array(code.ids, "<u4").tobytes()
 
 
-def encoder(path: str, mode: str) -> Encoder:
+def encoder(path: str, mode: str, special_as_text: bool = False) -> Encoder:
     """This worker's encoder; it lives as long as the worker."""
-    if (path, mode) not in _ENCODERS:
-        _ENCODERS[path, mode] = Encoder(path, mode)
-    return _ENCODERS[path, mode]
+    key = path, mode, special_as_text
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 def groups(texts: list[str | None], chars: int = 1_000_000):
