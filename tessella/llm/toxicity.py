@@ -1,17 +1,21 @@
 """Operator 5: toxicity by a support vector machine with a subsequence string kernel and Nystroem landmarks.
 
 The kernel compares two words by their common subsequences of four letters, word ends included, within six places; each
-gap weighs a subsequence down, so an insult with inserted letters still resembles itself. The machine is trained on words
-of labelled documents: those whose stems or themselves stand far more often in toxic ones, with spoilt copies of them,
-against words of clean ones. Its landmarks' expansion is folded into one table of weights by subsequence, so a word is
-scored by looking up its subsequences. A document's score is a logistic function of its strongest word and of how many
-words lie on the toxic side.
+gap weighs a subsequence down, so an insult with inserted letters still resembles itself. The machine is trained on
+sentences of labelled documents by multiple instances: a sentence is as toxic as its strongest word, its witness. All words
+of clean documents' sentences lie on the fair side. Sentences of toxic documents in which a word stands that is far more
+frequent in toxic documents lie on the toxic side: such a word is the first witness, then the machine chooses it anew, and
+sentences that it finds well on the fair side go. Copies of toxic sentences with a letter put into the witness are
+trained on as well. The landmarks are words, and their expansion is folded into one table of weights by subsequence, so a
+word is weighed by looking up its subsequences. A document's score is a logistic function of its strongest sentence and of
+how many witnesses it has.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -24,12 +28,21 @@ from tessella.llm.quality import labelled_sample
 
 #: Labelled documents that are learnt from, at most: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 8_000
-#: Words, units (words and stems) and landmarks that come to the driver, at most; selected toxic words are landmarks besides.
-WORDS, UNITS, LANDMARKS = 4_000, 400, 240
+#: Words and stems that set toxic documents apart, at most, the best first; the words among them are all landmarks. Clean words
+#: that are landmarks besides: the most frequent ones, those nearest to toxic ones, and any.
+UNITS, LANDMARKS = 400, 160
+#: Sentences that the machine is trained on, at most, and words of clean ones: the most frequent, those that begin like toxic
+#: ones, and any.
+CLEAN, TOXIC = 8_000, 4_000
+FREQUENT, ALIKE, ANY = 3_000, 2_000, 4_000
+#: The share of the toxic side's weight that copies with a letter put in have.
+SPOILT = 0.5
+#: A word is a witness from here; the machine's margin lies at 1.
+STRONG = 0.75
+#: Words in a sentence, at most; longer ones are cut.
+WINDOW = 40
 BITS = 18
 DECAY = 0.6
-#: A word counts as toxic from here; the machine's margin lies at 1.
-STRONG = 0.75
 PATTERNS = [(0, *c) for c in itertools.combinations(range(1, 6), 3)]
 CACHE_WORDS = 300_000
 _SPELT = re.compile(r"(?<!\S)(?:[^\W\d_][\s.\-_*]){3,}[^\W\d_](?!\S)")
@@ -41,8 +54,16 @@ def clean(token: str) -> str:
     return token if token.isalpha() else _OTHER.sub("", token)
 
 
+def sentences(text: str | None) -> list[list[str]]:
+    """Tokens between blanks in lower case, sentence by sentence, and words spelt letter by letter as sentences of their own."""
+    text = (text or "").lower()
+    parts = (p.split() for p in text.replace("\n", ". ").replace("! ", ". ").replace("? ", ". ").split(". "))
+    out = [p[i : i + WINDOW] for p in parts for i in range(0, len(p), WINDOW)]
+    return out + [[_OTHER.sub("", x)] for x in _SPELT.findall(text)]
+
+
 def tokens_of(text: str | None) -> list[str]:
-    """Tokens between blanks in lower case, and words spelt letter by letter in one."""
+    """Tokens of all sentences of a text, taken at once."""
     text = (text or "").lower()
     return text.split() + [_OTHER.sub("", x) for x in _SPELT.findall(text)]
 
@@ -85,7 +106,7 @@ def against(words: list[str], table: np.ndarray) -> np.ndarray:
     return total / np.maximum(np.sqrt(norm), 1e-9)
 
 
-def svm(x: np.ndarray, y: np.ndarray, weights: np.ndarray, c: float = 10.0, rounds: int = 40) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, weights: np.ndarray, c: float = 4.0, rounds: int = 40) -> np.ndarray:
     """Linear machine with squared hinge loss in the primal, by Newton steps; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.eye(x.shape[1])
@@ -114,7 +135,7 @@ class Machine:
         return self.__dict__ | {"known": {}, "table": None if self.table is None else self.table.astype(np.float32)}
 
     def words(self, tokens: set[str]) -> None:
-        """Score tokens that are not known yet."""
+        """Weigh tokens that are not known yet; of a very long one the strongest part counts."""
         new = [t for t in tokens if t not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = dict(itertools.islice(self.known.items(), CACHE_WORDS // 2))
@@ -126,8 +147,15 @@ class Machine:
             np.maximum.at(best, [i for i, _ in parts], against([p for _, p in parts], self.table) + self.bias)
             self.known.update(zip(some, best.tolist(), strict=True))
 
+    def values(self, text: str | None) -> list[float]:
+        """The machine's value of each sentence of a text: that of its strongest word."""
+        cut = sentences(text)
+        self.words({t for s in cut for t in s})
+        return [max(map(self.known.__getitem__, s)) for s in cut]
+
     def measures(self, texts: list[str | None]) -> np.ndarray:
-        """Strongest word, and of the distinct words well on the toxic side the logarithms of their number and of their number in a hundred words."""
+        """The strongest sentence's value - its strongest word's - and of the distinct witnesses the logarithms of their
+        number and of their number in a hundred words."""
         out = np.zeros((len(texts), 3))
         out[:, 0] = -1
         if self.table is None:
@@ -182,12 +210,79 @@ def _units(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "unit string, t long, n long").groupBy("unit").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).coalesce(8)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Machine:
-    """The machine, from at most rows labelled documents; words, stems and measures that come to the driver are bounded.
+def _sentences(sample: DataFrame, own: set[str], stems: set[str]) -> DataFrame:
+    """label, hit (whether a selected word or stem stands in it) and words of the sentences of the sample."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                rows = []
+                for text, label in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    for tokens in sentences(text):
+                        words = [w for w in map(clean, tokens) if w]
+                        if words:
+                            rows.append((bool(label), any(w in own or any(w[:m] in stems for m in range(3, 9)) for w in words), " ".join(words)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["toxic", "hit", "words"])
+
+    return sample.mapInArrow(run, "toxic boolean, hit boolean, words string").distinct()
+
+
+def _chosen(found: DataFrame, most: int) -> list[list[str]]:
+    """At most so many sentences, chosen by a hash."""
+    return [r.words.split() for r in found.orderBy(F.xxhash64("words"), "words").limit(most).collect()]
+
+
+def train(toxic: list[list[str]], fair: list[list[str]], selected: dict[str, float], stems: set[str], others: list[str], rounds: int = 2) -> tuple[np.ndarray, float]:
+    """(table, bias) of the machine that sets toxic sentences apart from fair ones.
+
+    selected are words that may be witnesses and are landmarks, with how far labels set them apart; stems begin other
+    such words; others are landmarks besides.
+    """
+    may = lambda w: w in selected or any(w[:m] in stems for m in range(3, 9))
+    bags = [x for x in ([w for w in s if may(w)] for s in toxic) if x]
+    counts = Counter(w for s in fair for w in set(s))
+    frequent = sorted(counts, key=lambda w: (-counts[w], w))
+    begin = {w[:3] for w in [*selected, *stems]}
+    alike, rest = [w for w in frequent if w[:3] in begin], sorted(counts, key=lambda w: zlib.crc32(w.encode()))
+    plain = list(dict.fromkeys(frequent[:FREQUENT] + alike[:ALIKE] + rest[:ANY]))
+    spoilt = sorted({x for s in bags for w in s if w in selected and len(w) >= 4 for x in _spoilt(w)})
+    words = list(dict.fromkeys([w for s in bags for w in s] + spoilt + plain))
+    at = {w: i for i, w in enumerate(words)}
+    marks = list(dict.fromkeys(sorted(selected) + others))
+    k = np.stack([against([w[:40] for w in words] + marks, embedded(w)) for w in marks], 1).astype(np.float32)  # a landmark's table at a time
+    k, own_k = k[: len(words)], k[len(words) :].astype(float)
+    value, vector = np.linalg.eigh((own_k + own_k.T) / 2)
+    keep = value > 1e-6 * value.max()
+    root = vector[:, keep] / np.sqrt(value[keep])
+    x = k @ root
+    copies, low = [at[w] for w in spoilt], [at[w] for w in plain]
+    witness = [max(s, key=lambda w: (selected.get(w, 0.0), w)) for s in bags]
+    for _ in range(rounds):
+        own, n = np.unique([at[w] for w in witness], return_counts=True)
+        n = np.minimum(n, 20) / np.minimum(n, 20).sum()
+        share = SPOILT if copies else 0.0
+        weight = np.concatenate([0.5 * (1 - share) * n, np.full(len(copies), 0.5 * share / max(len(copies), 1)), np.full(len(low), 0.5 / len(low))])
+        y = np.concatenate([np.ones(len(own) + len(copies)), -np.ones(len(low))])
+        w = svm(x[np.concatenate([own, copies, low]).astype(int)], y, weight * len(y) / 2)
+        f = x @ w[:-1] + w[-1]
+        best = [max(s, key=lambda v: f[at[v]]) for s in bags]
+        witness = [v for v in best if f[at[v]] > -0.5] or witness
+    table = np.zeros(1 << BITS)
+    for beta, mark in zip(root @ w[:-1], marks, strict=True):
+        table += beta * embedded(mark)
+    return table, float(w[-1])
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train_on: Column, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Machine:
+    """The machine, from at most rows labelled documents; words, stems, sentences and measures that come to the driver are
+    bounded by the constants above.
 
     With one label only, or nothing that sets toxic documents apart, every score is the share of toxic ones.
     """
-    sample = labelled_sample(docs, labels, label, train, rows).persist()
+    sample = labelled_sample(docs, labels, label, train_on, rows).persist()
+    found = units = None
     try:
         tally = {bool(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
         n1, n0 = tally.get(True, 0), tally.get(False, 0)
@@ -198,42 +293,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str =
         units = _units(sample).persist()
         due = F.expr(f"(t + n) * {n1 / (n1 + n0)}D")
         marked = units.where((F.col("t") >= 3) & (F.col("t") * n0 > 6 * (F.col("n") + 0.5) * n1)).withColumn("z", (F.col("t") - due) / F.sqrt(due)).where("z >= 5")
-        found = [r.unit for r in marked.orderBy(F.desc("z"), "unit").limit(UNITS).collect()]
-        stems, own = [u[1:] for u in found if u[0] == "^"], [u for u in found if u[0] == "="]
-        if not found:
+        best = {r.unit: r.z for r in marked.orderBy(F.desc("z"), "unit").limit(UNITS).collect()}
+        stems, own = {u[1:] for u in best if u[0] == "^"}, {u[1:]: z for u, z in best.items() if u[0] == "="}
+        if not own:
             return flat
-        is_word = F.col("unit").startswith("=")
-        near = F.col("unit").isin(own) | F.substring("unit", 2, 3).isin(sorted({s[:3] for s in stems}))
-        near_rows = units.where(is_word & near).orderBy(F.desc(F.col("t") + F.col("n")), "unit").limit(4 * WORDS).collect()
-        clean_rows = units.where(is_word & ~near & (F.col("t") * n0 < 2 * (F.col("n") + 0.5) * n1))
-        common = [r.unit[1:] for r in clean_rows.orderBy(F.desc("n"), "unit").limit(WORDS).collect()]
-        common += [r.unit[1:] for r in clean_rows.orderBy(F.xxhash64("unit"), "unit").limit(WORDS).collect()]
-        units.unpersist()
-        stem_set, own_set = set(stems), {u[1:] for u in own}
-        good, bad = [], []
-        for r in near_rows:
-            w = r.unit[1:]
-            hit = w in own_set or any(w[:m] in stem_set for m in range(3, 9))
-            (good if hit and r.t * n0 > 2 * r.n * n1 and r.t else bad if r.n else []).append(w)
-        good, bad = good[:WORDS], list(dict.fromkeys(bad + common))[: 3 * WORDS]
-        if not good or not bad:
+        is_word = F.col("unit").startswith("=") & (F.col("t") * n0 < 2 * (F.col("n") + 0.5) * n1)
+        near = is_word & F.substring("unit", 2, 3).isin(sorted({s[:3] for s in stems}))
+        third = LANDMARKS // 3
+        others = units.where(is_word).orderBy(F.desc("n"), "unit").limit(third).collect() + units.where(near).orderBy(F.desc("n"), "unit").limit(third).collect()
+        others += units.where(is_word).orderBy(F.xxhash64("unit"), "unit").limit(third).collect()
+        found = _sentences(sample, set(own), stems).persist()
+        toxic, fair = _chosen(found.where("toxic AND hit"), TOXIC), _chosen(found.where("NOT toxic"), CLEAN)
+        if not toxic or not fair:
             return flat
-        spoilt = [s for w in sorted(own_set) if len(w) >= 4 for s in _spoilt(w)]
-        words = good + spoilt + bad
-        y = np.array([1.0] * (len(good) + len(spoilt)) + [-1.0] * len(bad))
-        weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * len(y) / 2
-        others = list(dict.fromkeys(good[: LANDMARKS // 3] + bad[:: max(1, len(bad) // (LANDMARKS // 3))]))[: LANDMARKS - LANDMARKS // 3]
-        marks = list(dict.fromkeys(sorted(own_set) + others))  # UNITS bounds the toxic words
-        k = np.stack([against(words + marks, embedded(w)) for w in marks], 1)  # a landmark's table at a time
-        k, own_k = k[: len(words)], k[len(words) :]
-        value, vector = np.linalg.eigh(own_k)
-        keep = value > 1e-6 * value.max()
-        root = vector[:, keep] / np.sqrt(value[keep])
-        w = svm(k @ root, y, weight)
-        table = np.zeros(1 << BITS)
-        for beta, mark in zip(root @ w[:-1], marks, strict=True):
-            table += beta * embedded(mark)
-        machine = Machine(table, float(w[-1]), np.zeros(4))
+        machine = Machine(*train(toxic, fair, own, stems, [r.unit[1:] for r in others]), np.zeros(4))
 
         def run(batches):
             for batch in batches:
@@ -246,11 +319,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str =
         machine.logistic = _logistic(got[["a", "b", "c"]].to_numpy(), (got.label.to_numpy() > 0).astype(float))
         return machine
     finally:
-        sample.unpersist()
+        for x in (sample, units, found):
+            if x is not None:
+                x.unpersist()
 
 
 def toxicity_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score of every row, in one pass."""
+    """doc_id and score of every row, in one pass.
+
+    Null and empty texts, and those without words, have one low score; a text is scored whole, however long; null ids and
+    repeated rows get a score each; other columns are not read; an empty table gives no row.
+    """
     held = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
