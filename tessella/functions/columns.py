@@ -1,15 +1,10 @@
-"""Element-wise projections, index arithmetic and hash-free pseudo-random numbers as column expressions."""
+"""Element-wise projections, index arithmetic and pseudo-random numbers as column expressions."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Moduli of the generators: products stay far below 2**63 for indices up to 2**40.
-_PRIME = 1_000_003
-
 
 def nonneg(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0))
@@ -67,16 +62,16 @@ def ind2sub(ind: Column, dims: list[int]) -> list[Column]:
     return out
 
 
-def uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) that depends on seed and keys alone, so on no partitioning; integer arithmetic that any engine
-    can repeat."""
-    start = F.lit(seed % _PRIME).cast("long")
-    h = reduce(lambda h, k: ((h + k % _PRIME) * 7919 + 104_729) % _PRIME, keys, start)
-    h = (h * h % _PRIME * 31 + h * 17 + 11) % _PRIME
-    return h / F.lit(float(_PRIME))
+def uniform(seed: int, *keys: Column, portable: bool = False) -> Column:
+    """A number in [0, 1) that depends on seed and keys alone, so on no partitioning: 52 bits of their 64-bit hash, or with
+    portable of an MD5 digest, which other engines have as well but takes longer."""
+    if portable:
+        digest = F.md5(F.concat_ws(",", F.lit(seed).cast("string"), *(k.cast("string") for k in keys)))
+        return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), *(k.cast("long") for k in keys)), 12) / F.lit(float(1 << 52))
 
 
-def normal(seed: int, *keys: Column) -> Column:
-    """Box-Muller over two uniforms."""
-    u, v = uniform(seed, *keys), uniform(seed + 501, *keys)
+def normal(seed: int, *keys: Column, portable: bool = False) -> Column:
+    """Box-Muller over two uniforms; the second one has a key more."""
+    u, v = uniform(seed, *keys, portable=portable), uniform(seed, *keys, F.lit(-1), portable=portable)
     return F.sqrt(-2.0 * F.log(1.0 - u)) * F.cos(v * 6.283185307179586)

@@ -40,11 +40,12 @@ def _solve(g, m):
 def bpp(g, m, f=None):
     """Nonnegative least squares by block principal pivoting, rows grouped by equal passive sets.
 
-    Rows that still cycle after 5 k exchanges are set to the clipped least-squares solution rather than ending the job.
+    Rows that still cycle after 5 k exchanges are solved one by one with an active set, which ends always. f is only a
+    start: its positive entries are the first passive set.
     """
     n, k = m.shape
     passive = np.zeros((n, k), bool)
-    x, y = np.zeros((n, k)), -m.copy()
+    x, y = np.zeros((n, k)), -m.copy()  # three full exchanges, then one at a time: fixed values of the method
     spare, fewest = np.full(n, 3), np.full(n, k + 1)
     for _ in range(5 * k + 5):
         bad = np.where(passive, x < 0, y < 0)
@@ -71,11 +72,45 @@ def bpp(g, m, f=None):
         y[todo] = x[todo] @ g - m[todo]
         x[np.abs(x) < 1e-12] = 0
         y[np.abs(y) < 1e-12] = 0
-    left = np.flatnonzero(np.where(passive, x < 0, y < 0).any(1))
-    x[left] = np.maximum(m[left] @ np.linalg.pinv(g), 0)
+    for i in np.flatnonzero(np.where(passive, x < 0, y < 0).any(1)):
+        x[i] = active_set(g, m[i])
     return x
 
 
+def active_set(g, m, tol=1e-12):
+    """Nonnegative least squares of one row: one index enters at a time, and the way back is cut where it leaves."""
+    x, on = np.zeros(len(m)), np.zeros(len(m), bool)
+    for _ in range(30 * len(m)):
+        y = m - x @ g
+        if on.all() or y[~on].max() <= tol * max(1.0, np.abs(m).max()):
+            break
+        on[np.flatnonzero(~on)[y[~on].argmax()]] = True
+        while True:
+            z = np.zeros(len(m))
+            z[on] = _solve(g[np.ix_(on, on)], m[None, on])[0]
+            if (z[on] > 0).all():
+                x = z
+                break
+            low = on & (z <= 0)
+            step = (x[low] / np.maximum(x[low] - z[low], 1e-300)).min()
+            x = np.maximum(x + step * (z - x), 0)
+            on &= x > 1e-300
+            if not on.any():
+                break
+    return x
+
+
+def nnls(a, b):
+    """X >= 0 that minimizes |a X' - b|, a (n, k) and b (n, m): rows of X by bpp() on the normal equations."""
+    return bpp(a.T @ a, b.T @ a)
+
+
+def kkt(g, m, x):
+    """How far rows are from optimal: the largest of negative entries, negative gradients and their products, by row."""
+    y = x @ g - m
+    return np.max(np.concatenate([np.maximum(-x, 0), np.maximum(-y, 0), np.abs(x * y)], 1), 1)
+
+
 def rank2(g, m, f=None):
     """Closed form for two columns and nonnegative M, clipped at zero."""
     x = m @ np.linalg.pinv(g)
@@ -85,25 +120,33 @@ def rank2(g, m, f=None):
     return np.maximum(np.where((x < 0).any(1)[:, None], one, x), 0)
 
 
-def admm(g, m, f, u=None, steps=5):
-    """Alternating directions with dual u; five steps, so that rows need no global stop."""
+def admm(g, m, f, u=None, steps=5, tol=0.01):
+    """Alternating directions: (new rows, dual). At most five steps; a row stops when it is near its copy and has hardly
+    moved, by its own norms, so that no result depends on which rows are together. u is the dual of the last call."""
     k = len(g)
     rho = np.trace(g) / k
     rho = rho if rho > 0 else 0.01
-    inverse = np.linalg.inv(g + rho * np.eye(k))
-    u = np.zeros_like(f) if u is None else u
+    factor = np.linalg.cholesky(g + rho * np.eye(k))
+    f, u = f.copy(), np.zeros_like(f) if u is None else u.copy()
+    todo = np.arange(len(f))
     for _ in range(steps):
-        aux = (m + rho * (f + u)) @ inverse
-        f = np.maximum(aux - u, 0)
-        u = u + f - aux
-    return f
+        before = f[todo]
+        aux = np.linalg.solve(factor.T, np.linalg.solve(factor, (m[todo] + rho * (before + u[todo])).T)).T
+        f[todo] = np.maximum(aux - u[todo], 0)
+        u[todo] += f[todo] - aux
+        size = lambda x: np.sqrt((x**2).sum(1))
+        done = (size(f[todo] - aux) < tol * size(f[todo])) & (size(f[todo] - before) < tol * size(u[todo]))
+        todo = todo[~done]
+        if not len(todo):
+            break
+    return f, u
 
 
 def nesterov(g, m, f, steps=20):
     """Accelerated projected gradient with the proximal term chosen by the condition number, capped."""
     values = np.linalg.eigvalsh(g)
     top, low = max(values[-1], 1e-12), max(values[0], 1e-12)
-    ratio = top / low
+    ratio = top / low  # bounds and shares of the proximal term: fixed values of the method
     lam = 10 * low if ratio > 1e6 else low if ratio > 1e3 else low / 10
     h, q = g + lam * np.eye(len(g)), (low + lam) / (top + lam)
     target, y, x, alpha = m + lam * f, f, f, 1.0
@@ -116,4 +159,6 @@ def nesterov(g, m, f, steps=20):
 
 
 #: Rules by name; each takes (G, M, F) and returns the new rows.
-RULES = {"MU": mu, "HALS": hals, "ANLSBPP": bpp, "AOADMM": admm, "NESTEROV": nesterov, "ALS": als, "CPALS": als, "R2": rank2}
+RULES = {"MU": mu, "HALS": hals, "ANLSBPP": bpp, "NESTEROV": nesterov, "ALS": als, "CPALS": als, "R2": rank2}
+#: Rules with a dual variable of the same shape: (G, M, F, U) to (F, U).
+KEEP = {"AOADMM": admm}

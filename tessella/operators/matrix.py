@@ -10,9 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.columns import split_start
+from tessella.session import written
+
 
 def cols(k: int, name: str = "f") -> list[str]:
     return [f"{name}{r}" for r in range(k)]
@@ -146,12 +150,36 @@ def col_subset(a: DataFrame, columns: DataFrame, relabel: bool = False) -> DataF
     return a.join(columns.select(F.col("j"), F.col("new_j")), "j").select("i", F.col("new_j").alias("j"), "v")
 
 
-def permuted(a: DataFrame, column: str, seed: int) -> DataFrame:
-    """New ids 0, 1 .. for one index in the order of a hash: the distinct ids are ranked, the matrix is joined once."""
-    ids = a.select(column).distinct()
-    key = (F.col(column) * 7919 + seed * 104_729) % 10_007
-    new = ids.withColumn("_new", F.row_number().over(Window.orderBy(key, column)) - 1)
-    return a.join(new, column).withColumn(column, F.col("_new").cast("long")).select(*a.columns)
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """df with _n, the place 0, 1 .. of each row in an order, which should be total.
+
+    Rows are parted into ranges of the order and counted by range; a row's place is that in its range plus the sizes of the
+    ranges before, of which one number each comes to the driver.
+    """
+    spark = df.sparkSession
+    parted = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    start, rows = 0, []
+    for part, n in sorted(parted.groupBy("_part").count().collect()):
+        rows.append((part, start))
+        start += n
+    starts = spark.createDataFrame(rows, "_part int, _start long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parted.withColumn("_at", place).join(F.broadcast(starts), "_part").withColumn("_n", F.col("_start") + F.col("_at") - 1).drop("_part", "_at", "_start")
+
+
+def permutation(ids: DataFrame, column: str, seed: int) -> DataFrame:
+    """(column, _new): new ids 0, 1 .. for the distinct ids of a frame, in the order of a digest of seed and id."""
+    key = F.md5(F.concat_ws(",", F.lit(seed).cast("string"), F.col(column).cast("string")))
+    return numbered(ids.select(column).distinct().withColumn("_key", key), "_key", column).select(column, F.col("_n").alias("_new"))
+
+
+def permuted(a: DataFrame, columns: dict[str, int]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The matrix or tensor with new ids for some indices, each by a seed, and the permutations (old id, _new) used."""
+    used = {}
+    for column, seed in columns.items():
+        used[column] = permutation(a, column, seed)
+        a = a.join(used[column], column).withColumn(column, F.col("_new")).select(*a.columns)
+    return a, used
 
 
 def bag_of_words(docs: DataFrame, vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,6 +204,70 @@ def argmax_cluster(factor: DataFrame) -> DataFrame:
     return factor.select("idx", (F.array_position(f, F.array_max(f)) - 1).cast("long").alias("cluster"))
 
 
+def uneven_partition(a: DataFrame, m: int, n: int, pr: int, pc: int) -> DataFrame:
+    """(bi, bj, i, j, v) on a grid whose first blocks have one row or column more, so that none is left over."""
+
+    def of(x: str, size: int, parts: int) -> tuple:
+        small, more = divmod(size, parts)
+        wide = more * (small + 1)
+        block = F.when(F.col(x) < wide, F.floor(F.col(x) / (small + 1))).otherwise(more + F.floor((F.col(x) - wide) / max(small, 1)))
+        return block, F.col(x) - split_start(F.lit(size), F.lit(parts), block)
+
+    (bi, i), (bj, j) = of("i", m, pr), of("j", n, pc)
+    return a.select(bi.cast("long").alias("bi"), bj.cast("long").alias("bj"), i.cast("long").alias("i"), j.cast("long").alias("j"), "v")
+
+
+def block_columns(a: DataFrame, n: int, blocks: int, block: int) -> DataFrame:
+    """The columns of one of so many blocks of n columns (the last takes what is left), with their own ids from 0."""
+    size = n // blocks
+    start = block * size
+    end = n if block == blocks - 1 else start + size
+    return a.where((F.col("j") >= start) & (F.col("j") < end)).select("i", (F.col("j") - start).alias("j"), "v")
+
+
+def dot(x: DataFrame, y: DataFrame) -> float:
+    """Inner product of two vectors or factors of equal width, over all their cells."""
+    k = rank(x)
+    other = y.select("idx", *(F.col(f"f{r}").alias(f"y{r}") for r in range(k)))
+    return float(x.join(other, "idx").agg(F.sum(sum((F.col(f"f{r}") * F.col(f"y{r}") for r in range(k)), F.lit(0.0)))).first()[0] or 0.0)
+
+
+def exact_error_sq(a: DataFrame, w: DataFrame, h: DataFrame, block: int = 1024) -> DataFrame:
+    """One row: squared error of A - W H' cell by cell, empty ones too, by blocks of rows that meet all of H.
+
+    For checks of fit_error_sq(): its work is that of the dense product. H goes to blocks of rows in blocks of its own, so
+    a task holds block x block values at a time.
+    """
+    k = rank(w)
+    at = lambda f, name: f.select(F.floor(F.col("idx") / block).alias(name), F.col("idx"), F.array(*cols(k)).alias("f"))
+    left = at(w, "bi").groupBy("bi").agg(F.collect_list(F.struct("idx", "f")).alias("w"))
+    right = at(h, "bj").groupBy("bj").agg(F.collect_list(F.struct("idx", "f")).alias("h"))
+    cells = a.groupBy(F.floor(F.col("i") / block).alias("bi"), F.floor(F.col("j") / block).alias("bj")).agg(F.collect_list(F.struct("i", "j", "v")).alias("cells"))
+    last = right.agg(F.max("bj")).first()[0] or 0
+    grid = left.withColumn("bj", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).join(right, "bj").join(cells, ["bi", "bj"], "left")
+
+    def run(batches):
+        for batch in batches:
+            for cell, x, y in zip(*(batch.column(c) for c in ("cells", "w", "h")), strict=True):
+                ids, rows = _block(x.values)
+                jds, columns = _block(y.values)
+                diff = -(rows @ columns.T)
+                if cell.is_valid and len(cell.values):
+                    i, j, v = (cell.values.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+                    diff[np.searchsorted(ids, i), np.searchsorted(jds, j)] += v
+                yield pa.RecordBatch.from_arrays([pa.array([float((diff**2).sum())])], names=["e"])
+
+    return grid.select("cells", "w", "h").mapInArrow(run, "e double").agg(F.sum("e").alias("err_sq"))
+
+
+def _block(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids in order and their rows."""
+    ids = rows.field(0).to_numpy(zero_copy_only=False)
+    values = rows.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    order = np.argsort(ids)
+    return ids[order], values[order]
+
+
 def block_partition(a: DataFrame, m: int, n: int, pr: int, pc: int) -> DataFrame:
     """(bi, bj, i, j, v) on a grid of even blocks with local indices; rows and columns beyond the even part go."""
     br, bc = m // pr, n // pc

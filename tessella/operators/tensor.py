@@ -67,6 +67,42 @@ def khatri_rao(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumnRenamed("idx", "ia").crossJoin(right).select("ia", "ib", *((F.col(f"f{r}") * F.col(f"g{r}")).alias(f"f{r}") for r in range(k)))
 
 
+def krp(factors: list[DataFrame], modes: list[int]) -> DataFrame:
+    """(i<mode> .., f0 ..): the Khatri-Rao product of the factors of some modes; for all but one that of the others."""
+    out = None
+    for m in modes:
+        f = factors[m].select(F.col("idx").alias(f"i{m}"), *(F.col(f"f{r}").alias(f"g{r}") for r in range(rank(factors[m]))))
+        if out is None:
+            out = f.withColumnsRenamed({f"g{r}": f"f{r}" for r in range(rank(factors[m]))})
+            continue
+        k, ids = rank(out), [c for c in out.columns if c[0] == "i"]
+        out = out.crossJoin(f).select(*ids, f"i{m}", *((F.col(f"f{r}") * F.col(f"g{r}")).alias(f"f{r}") for r in range(k)))
+    return out
+
+
+def without(n: int, mode: int) -> list[int]:
+    return [m for m in range(n) if m != mode]
+
+
+def whole(factors: list[DataFrame], lam: list[float] | None = None) -> DataFrame:
+    """The factors' tensor, all cells."""
+    n, k = len(factors), rank(factors[0])
+    return krp(factors, list(range(n))).select(*(f"i{m}" for m in range(n)), sum((F.col(f"f{r}") * (lam[r] if lam else 1.0) for r in range(k)), F.lit(0.0)).alias("v"))
+
+
+def error_sq(x: DataFrame, y: DataFrame) -> DataFrame:
+    """One row: squared distance of two tensors; cells that one lacks are zero there."""
+    ids = [f"i{m}" for m in range(order(x))]
+    j = x.join(y.withColumnRenamed("v", "w"), ids, "full")
+    return j.agg(F.sum((F.coalesce("v", F.lit(0.0)) - F.coalesce("w", F.lit(0.0))) ** 2).alias("err_sq"))
+
+
+def normalize_all(factors: list[DataFrame]) -> tuple[list[DataFrame], list[float]]:
+    """All factors with columns of length one, and the products of the lengths."""
+    done = [normalize_mode(f) for f in factors]
+    return [f for f, _ in done], np.prod([lam for _, lam in done], axis=0).tolist()
+
+
 def normalize_mode(factor: DataFrame) -> tuple[DataFrame, list[float]]:
     """Columns of length one, and the lengths; a zero column stays."""
     lam = [float(np.sqrt(x)) for x in np.diag(gram(factor))]

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
 from tessella.functions.text import terms
+from tessella.operators import kernels
 from tessella.operators import matrix as R
 from tessella.operators import tensor as X
 from tessella.plans.factors import Factor
-from tessella.plans.hier import hier_nmf
-from tessella.plans.joint import joint_nmf
+from tessella.plans.hier import hier_nmf, power_sigma, score
+from tessella.plans.joint import gradients, joint_nmf, objective
 from tessella.plans.nmf import nmf
 from tessella.plans.ntf import ntf
 from tessella.sources import generate as G
@@ -170,6 +171,26 @@ def fast_error(spark, d):
     return R.fit_error_sq(a, w0(a), h0(a)).select(F.round(F.col("err_sq") / 1000, 3).alias("err_sq"))
 
 
+@query(EXACT)
+def exact_error(spark, d):
+    a = m1(spark, d)
+    return R.exact_error_sq(a, w0(a), h0(a)).select(F.round(F.col("err_sq") / 1000, 3).alias("err_sq"))
+
+
+@query(EXACT.replace("round(SUM((COALESCE(a.v, 0) - c.x) * (COALESCE(a.v, 0) - c.x)) / 1000, 3) AS err_sq", "round(sqrt(SUM((COALESCE(a.v, 0) - c.x) * (COALESCE(a.v, 0) - c.x)) / (SELECT SUM(v * v) FROM a)), 8) AS rel_error"))
+def nmf_rel_error(spark, d):
+    a = m1(spark, d)
+    both = R.fit_error_sq(a, w0(a), h0(a)).join(a.agg(F.sum(F.col("v") ** 2).alias("n")))
+    return both.select(F.round(F.sqrt(F.col("err_sq") / F.col("n")), 8).alias("rel_error"))
+
+
+@query(f"{BASE} SELECT round(SUM(w.x * ((w.i * 5 + w.r * 3) % 7 + 1) / CAST(7 AS DOUBLE)), 5) AS dot FROM w")
+def dot_product(spark, d):
+    a = m1(spark, d)
+    other = R.formula_factor(a.select(F.col("i").alias("idx")).distinct(), K, 5, 3, 7)
+    return spark.createDataFrame([(round(R.dot(w0(a), other), 5),)], "dot double")
+
+
 @query(f"WITH {A} SELECT COUNT(CASE WHEN v > 0 THEN 1 END) / CAST((SELECT COUNT(DISTINCT i) FROM a) * (SELECT COUNT(DISTINCT j) FROM a) AS DOUBLE) AS density FROM a")
 def density(spark, d):
     a = m1(spark, d)
@@ -208,6 +229,7 @@ _projected("floor_abs", lambda v: C.floor_abs(v, 0.05, 0.001), "CASE WHEN abs(v)
 _projected("bound", lambda v: C.bound(v, -0.1, 0.1), "least(greatest(v, -0.1), 0.1)")
 _projected("scale_shift", lambda v: v * 2.5 + 0.25, "v * 2.5 + 0.25")
 _projected("absolute", F.abs, "abs(v)")
+_projected("truncate_decimals", lambda v: C.truncate(v, 3), "floor(v * 1000.0) / 1000.0")
 _projected("adjust_values", lambda v: C.adjust(v, 5.0, 10.0), "CASE WHEN v < 0 THEN CAST(10 AS DOUBLE) ELSE CAST(ceil(v * 5.0 + 10.0) AS DOUBLE) END")
 
 
@@ -270,18 +292,41 @@ def col_subset(spark, d):
     return R.col_subset(a, a.groupBy("j").agg(F.sum("v").alias("s")).join(mean, F.col("s") > F.col("mean")).select("j")).select("i", "j", "v")
 
 
-@query(f"WITH {A}, n AS (SELECT j, row_number() OVER (ORDER BY j DESC) - 1 AS nj FROM (SELECT DISTINCT j FROM a WHERE j % 2 = 0) u) SELECT a.i, CAST(n.nj AS BIGINT) AS j, a.v FROM a JOIN n ON a.j = n.j")
+@query(f"""WITH {A}, c AS (SELECT j, SUM(v) AS s FROM a GROUP BY 1), n AS (SELECT j, row_number() OVER (ORDER BY s DESC, j) - 1 AS nj FROM c WHERE s > (SELECT AVG(s) FROM c))
+ SELECT a.i, CAST(n.nj AS BIGINT) AS j, a.v FROM a JOIN n ON a.j = n.j""")
 def col_relabel(spark, d):
-    from pyspark.sql import Window
-
     a = m1(spark, d)
-    new = a.select("j").where("j % 2 = 0").distinct().withColumn("new_j", (F.row_number().over(Window.orderBy(F.desc("j"))) - 1).cast("long"))
-    return R.col_subset(a, new, relabel=True)
+    sums = a.groupBy("j").agg(F.sum("v").alias("s"))
+    above = sums.join(sums.agg(F.avg("s").alias("mean")), F.col("s") > F.col("mean")).select("j", "s")
+    return R.col_subset(a, R.numbered(above, F.desc("s"), F.col("j")).withColumnRenamed("_n", "new_j"), relabel=True)
+
+
+def _sides(a: DataFrame) -> tuple[int, int]:
+    row = a.agg(F.max("i") + 1, F.max("j") + 1).first()
+    return int(row[0]), int(row[1])
+
+
+_SIZE = "z AS (SELECT MAX(i) + 1 AS m, MAX(j) + 1 AS n FROM a)"
 
 
-@query(f"WITH {A} SELECT CAST(floor(i / 10.0) AS BIGINT) AS bi, CAST(floor(j / 16.0) AS BIGINT) AS bj, i % 10 AS i, j % 16 AS j, v FROM a WHERE i < 90 AND j < 48")
+@query(f"""WITH {A}, {_SIZE} SELECT i // (m // 9) AS bi, j // (n // 3) AS bj, i % (m // 9) AS i, j % (n // 3) AS j, v FROM a CROSS JOIN z WHERE i < m // 9 * 9 AND j < n // 3 * 3""")
 def block_partition(spark, d):
-    return R.block_partition(m1(spark, d), 95, 50, 9, 3)
+    a = m1(spark, d)
+    return R.block_partition(a, *_sides(a), 9, 3)
+
+
+@query(f"""WITH {A}, {_SIZE}, s AS (SELECT *, m // 9 AS p, m % 9 AS x, n // 4 AS q, n % 4 AS y FROM a CROSS JOIN z),
+ t AS (SELECT *, CASE WHEN i < x * (p + 1) THEN i // (p + 1) ELSE x + (i - x * (p + 1)) // p END AS bi, CASE WHEN j < y * (q + 1) THEN j // (q + 1) ELSE y + (j - y * (q + 1)) // q END AS bj FROM s)
+ SELECT CAST(bi AS BIGINT) AS bi, CAST(bj AS BIGINT) AS bj, CAST(i - (bi * p + least(bi, x)) AS BIGINT) AS i, CAST(j - (bj * q + least(bj, y)) AS BIGINT) AS j, v FROM t""")
+def uneven_partition(spark, d):
+    a = m1(spark, d)
+    return R.uneven_partition(a, *_sides(a), 9, 4)
+
+
+@query(f"WITH {A}, {_SIZE} SELECT i, CAST(j - n // 4 * 3 AS BIGINT) AS j, v FROM a CROSS JOIN z WHERE j >= n // 4 * 3")
+def block_columns(spark, d):
+    a = m1(spark, d)
+    return R.block_columns(a, _sides(a)[1], 4, 3)
 
 
 @query("SELECT CAST(o_orderkey AS BIGINT) AS n, CAST(o_orderkey // 4 + CASE WHEN o_custkey % 4 < o_orderkey % 4 THEN 1 ELSE 0 END AS BIGINT) AS size, CAST((o_custkey % 4) * (o_orderkey // 4) + least(o_custkey % 4, o_orderkey % 4) AS BIGINT) AS start FROM orders")
@@ -296,11 +341,19 @@ def sub2ind(spark, d):
     return t.select("*", *(c.cast("long").alias(f"s{m}") for m, c in enumerate(C.ind2sub(F.col("ind"), [8, 3, 13]))))
 
 
-@query(f"""WITH {A}, n AS (SELECT i, CAST(row_number() OVER (ORDER BY (i * 7919 + 3 * 104729) % 10007, i) - 1 AS BIGINT) AS ni FROM (SELECT DISTINCT i FROM a) u),
- m AS (SELECT j, CAST(row_number() OVER (ORDER BY (j * 7919 + 5 * 104729) % 10007, j) - 1 AS BIGINT) AS nj FROM (SELECT DISTINCT j FROM a) u)
- SELECT ni AS i, nj AS j, v FROM a JOIN n ON a.i = n.i JOIN m ON a.j = m.j""")
+_NEW = "SELECT {0} AS old, CAST(row_number() OVER (ORDER BY md5(concat_ws(',', {1}, {0})), {0}) - 1 AS BIGINT) AS new FROM (SELECT DISTINCT {0} FROM a) u"
+
+
+@query(f"WITH {A}, n AS ({_NEW.format('i', 3)}), m AS ({_NEW.format('j', 5)}) SELECT n.new AS i, m.new AS j, v FROM a JOIN n ON a.i = n.old JOIN m ON a.j = m.old")
 def permute(spark, d):
-    return R.permuted(R.permuted(m1(spark, d), "i", 3), "j", 5)
+    return R.permuted(m1(spark, d), {"i": 3, "j": 5})[0]
+
+
+@query(f"WITH {A} SELECT 'i' AS side, old, new FROM ({_NEW.format('i', 3)}) x UNION ALL SELECT 'j', old, new FROM ({_NEW.format('j', 5)}) y")
+def permutation(spark, d):
+    used = R.permuted(m1(spark, d), {"i": 3, "j": 5})[1]
+    one = [p.select(F.lit(c).alias("side"), F.col(c).alias("old"), F.col("_new").alias("new")) for c, p in used.items()]
+    return one[0].unionByName(one[1])
 
 
 BAG = """x AS (SELECT doc_id AS i, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), c AS (SELECT i, term, CAST(COUNT(*) AS DOUBLE) AS v FROM x GROUP BY 1, 2),
@@ -332,15 +385,6 @@ def clean_terms(spark, d):
     return per_page.groupBy("term").agg(F.sum("n").cast("long").alias("n"), F.count(F.lit(1)).alias("pages"))
 
 
-@query("""WITH m AS (SELECT DISTINCT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS j FROM orders)
- SELECT CAST((j - 1) // 12 AS BIGINT) AS year, CAST(r AS BIGINT) AS r, round(AVG(((j * 5 + r * 3) % 7 + 1) / CAST(7 AS DOUBLE)), 8) AS weight FROM m CROSS JOIN (VALUES (0), (1), (2)) t(r) GROUP BY 1, 2""")
-def topic_over_time(spark, d):
-    months = table(spark, d, "orders").select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("idx")).distinct()
-    rows = R.long_form(R.formula_factor(months, K, 5, 3, 7), digits=None)
-    year = F.floor((F.col("idx") - 1) / 12).cast("long").alias("year")
-    return rows.groupBy(year, F.col("r").cast("long").alias("r")).agg(F.round(F.avg("x"), 8).alias("weight"))
-
-
 # ---- steps of the update rules
 
 
@@ -399,6 +443,17 @@ def bpp_two_columns(spark, d):
     return _two(spark, d, "ANLSBPP")
 
 
+@query(f"WITH {A} SELECT DISTINCT j AS idx, TRUE AS optimal FROM a")
+def bpp_kkt(spark, d):
+    """Whether each row that block pivoting gives meets the conditions of the optimum, to 1e-8 of the product's size."""
+    a = m1(spark, d)
+    g, h = R.gram(w0(a)), Factor.of(h0(a))
+    m = h.filled(R.at_w(a, w0(a)))
+    x = m.map(lambda m: kernels.bpp(g, m))
+    good = x.map(lambda x, m: (kernels.kkt(g, m, x) <= 1e-8 * np.maximum(np.abs(m).max(1) ** 2, 1))[:, None].astype(float), m)
+    return good.df.select("idx", (F.col("f0") == 1).alias("optimal"))
+
+
 @query(f"{_G2} SELECT j AS idx, CAST(0 AS BIGINT) AS r, round(a0, 4) AS x FROM y UNION ALL SELECT j, 1, round(a1, 4) FROM y")
 def als_step(spark, d):
     return _two(spark, d, "ALS")
@@ -463,6 +518,40 @@ def cp_fast_error(spark, d):
     return t.agg(F.sum(F.col("v") ** 2).alias("n")).join(dot).select(F.round(F.sqrt((F.col("n") + whole - 2 * F.col("dot")) / F.col("n")), 6).alias("rel_error"))
 
 
+@query(f"{TT} SELECT a.idx AS i0, b.idx AS i1, c.idx AS i2, a.r, round(a.x * b.x * c.x, 8) AS x FROM f0 a JOIN f1 b ON a.r = b.r JOIN f2 c ON a.r = c.r")
+def krp_three_modes(spark, d):
+    k = X.krp(fs(t1(spark, d)), [0, 1, 2])
+    return k.select("i0", "i1", "i2", F.posexplode(F.array(*R.cols(K))).alias("r", "x")).select("i0", "i1", "i2", F.col("r").cast("long").alias("r"), F.round("x", 8).alias("x"))
+
+
+@query(f"{TT} SELECT a.idx AS i0, c.idx AS i2, a.r, round(a.x * c.x, 8) AS x FROM f0 a JOIN f2 c ON a.r = c.r")
+def krp_leave_one_out(spark, d):
+    k = X.krp(fs(t1(spark, d)), X.without(3, 1))
+    return k.select("i0", "i2", F.posexplode(F.array(*R.cols(K))).alias("r", "x")).select("i0", "i2", F.col("r").cast("long").alias("r"), F.round("x", 8).alias("x"))
+
+
+@query(f"{TT} SELECT a.idx * 3 + b.idx AS idx, a.r, round(a.x * b.x, 8) AS x FROM f0 a JOIN f1 b ON a.r = b.r")
+def kronecker(spark, d):
+    f = fs(t1(spark, d))
+    return longer(X.kronecker(f[0], f[1]), digits=8)
+
+
+_WHOLE = "c AS (SELECT a.idx AS i0, b.idx AS i1, c.idx AS i2, SUM(a.x * b.x * c.x) AS x FROM f0 a JOIN f1 b ON a.r = b.r JOIN f2 c ON a.r = c.r GROUP BY 1, 2, 3)"
+
+
+@query(f"{TT}, {_WHOLE} SELECT round(SUM((COALESCE(t.v, 0) - COALESCE(c.x, 0)) * (COALESCE(t.v, 0) - COALESCE(c.x, 0))) / 1000, 4) AS err_sq FROM c FULL JOIN t ON t.i0 = c.i0 AND t.i1 = c.i1 AND t.i2 = c.i2")
+def tensor_error(spark, d):
+    t = t1(spark, d)
+    return X.error_sq(t, X.whole(fs(t))).select(F.round(F.col("err_sq") / 1000, 4).alias("err_sq"))
+
+
+@query(f"""{TT}, n AS (SELECT r, sqrt(SUM(x * x)) AS n FROM f0 GROUP BY 1), m AS (SELECT r, sqrt(SUM(x * x)) AS n FROM f1 GROUP BY 1), o AS (SELECT r, sqrt(SUM(x * x)) AS n FROM f2 GROUP BY 1)
+ SELECT n.r, round(n.n * m.n * o.n, 5) AS lam FROM n JOIN m ON n.r = m.r JOIN o ON n.r = o.r""")
+def normalize_all_modes(spark, d):
+    lam = X.normalize_all(fs(t1(spark, d)))[1]
+    return spark.createDataFrame([(r, round(x, 5)) for r, x in enumerate(lam)], "r long, lam double")
+
+
 @query(f"{TT} SELECT idx, f0.r, round(x / n, 7) AS x, round(n, 6) AS lam FROM f0 JOIN (SELECT r, sqrt(SUM(x * x)) AS n FROM f0 GROUP BY 1) u ON f0.r = u.r")
 def normalize_mode(spark, d):
     f, lam = X.normalize_mode(fs(t1(spark, d))[0])
@@ -478,6 +567,99 @@ def ntf_mu_step(spark, d):
     return longer(Factor.of(f[0]).update(X.mttkrp(t, f, 0), "MU", X.gram_hadamard([R.gram(x) for x in f], 0))[0].df, digits=5)
 
 
+# ---- rounds of whole fits, unrolled in SQL
+
+
+def _mu(old: str, new: str, key: str, other: str, product: str) -> str:
+    """CTEs of one multiplicative update of factor `old` (key, r, x) by factor `other`; product is SQL for data times other."""
+    g = f"g_{new}"
+    return f"""{g} AS (SELECT p.r AS p, q.r AS q, SUM(p.x * q.x) AS g FROM {other} p JOIN {other} q ON p.{'j' if key == 'i' else 'i'} = q.{'j' if key == 'i' else 'i'} GROUP BY 1, 2), m_{new} AS ({product}),
+ d_{new} AS (SELECT f.{key}, {g}.q AS r, SUM(f.x * {g}.g) AS x FROM {old} f JOIN {g} ON f.r = {g}.p GROUP BY 1, 2),
+ {new} AS (SELECT f.{key}, f.r, f.x * m.x / (d.x + 1e-17) AS x FROM {old} f JOIN m_{new} m ON f.{key} = m.{key} AND f.r = m.r JOIN d_{new} d ON f.{key} = d.{key} AND f.r = d.r)"""
+
+
+def _hals(old: str, new: str, key: str, other: str, product: str) -> str:
+    """The same for one sweep over three columns."""
+    away = "j" if key == "i" else "i"
+    z = [f"h{c}" for c in range(3)]
+    steps, have = [], list(z)
+    for r in range(3):
+        steps.append(f"s{r}_{new} AS (SELECT *, greatest(h{r} + (m{r} - ({' + '.join(f'{have[c]} * g{c}{r}' for c in range(3))})) / g{r}{r}, 1e-17) AS n{r} FROM {f's{r - 1}_{new}' if r else f'z_{new}'})")
+        have[r] = f"n{r}"
+    return f"""g_{new} AS (SELECT p.r AS p, q.r AS q, SUM(p.x * q.x) AS g FROM {other} p JOIN {other} q ON p.{away} = q.{away} GROUP BY 1, 2), m_{new} AS ({product}),
+ z_{new} AS (SELECT * FROM ({_wide(old, key, 'h', 3)}) a JOIN ({_wide(f'm_{new}', key, 'm', 3)}) b USING ({key}) CROSS JOIN (SELECT {_g(f'g_{new}', 3)}) c), {', '.join(steps)},
+ {new} AS ({' UNION ALL '.join(f'SELECT {key}, CAST({r} AS BIGINT) AS r, n{r} AS x FROM s2_{new}' for r in range(3))})"""
+
+
+def _rounds(half, rounds: int) -> str:
+    """Metrics of so many rounds, H before W, from the formula's factors."""
+    out, out_rows, w, h = [], [], "w", "h"
+    for it in range(rounds):
+        out.append(half(h, f"h{it}", "j", w, f"SELECT a.j, f.r, SUM(a.v * f.x) AS x FROM a JOIN {w} f ON a.i = f.i GROUP BY 1, 2"))
+        h = f"h{it}"
+        out.append(half(w, f"w{it}", "i", h, f"SELECT a.i, f.r, SUM(a.v * f.x) AS x FROM a JOIN {h} f ON a.j = f.j GROUP BY 1, 2"))
+        w = f"w{it}"
+        out.append(f"e{it} AS (SELECT p.i, q.j, SUM(p.x * q.x) AS x FROM {w} p JOIN {h} q ON p.r = q.r GROUP BY 1, 2)")
+        out_rows.append(f"SELECT {it} AS it, round(sqrt(SUM((COALESCE(a.v, 0) - e.x) * (COALESCE(a.v, 0) - e.x)) / (SELECT SUM(v * v) FROM a)), 7) AS rel_error FROM e{it} e LEFT JOIN a ON a.i = e.i AND a.j = e.j")
+    return f"{BASE}, {', '.join(out)} {' UNION ALL '.join(out_rows)}"
+
+
+def _started(algo: str, rounds: int):
+    def run(spark, d):
+        a = m1(spark, d)
+        return nmf(a, K, algo, rounds, w0=w0(a), h0=h0(a)).metrics.select("it", F.round("rel_error", 7).alias("rel_error"))
+
+    return run
+
+
+query(_rounds(_mu, 2), "nmf_mu_rounds")(_started("MU", 2))
+query(_rounds(_hals, 2), "nmf_hals_rounds")(_started("HALS", 2))
+
+
+def _ntf_rounds(rounds: int) -> str:
+    """Multiplicative updates of three modes from the formula's factors, each normalized after its update and begun from
+    the factor times the lengths of the update before."""
+    out = [f"c{m} AS (SELECT idx, f.r, x / n AS x FROM f{m} f JOIN (SELECT r, sqrt(SUM(x * x)) AS n FROM f{m} GROUP BY 1) u ON f.r = u.r)" for m in range(3)]
+    now, lam, rows = ["c0", "c1", "c2"], None, []
+    for it in range(rounds):
+        for m in range(3):
+            t, (p, q) = f"{it}{m}", (o for o in range(3) if o != m)
+            begin = f"SELECT f.idx, f.r, f.x{' * l.n' if lam else ''} AS x FROM {now[m]} f {f'JOIN {lam} l ON f.r = l.r' if lam else ''}"
+            out += [
+                f"b{t} AS ({begin})",
+                f"p{t} AS (SELECT t.i{m} AS idx, y.r, SUM(t.v * y.x * z.x) AS x FROM t JOIN {now[p]} y ON t.i{p} = y.idx JOIN {now[q]} z ON t.i{q} = z.idx AND y.r = z.r GROUP BY 1, 2)",
+                *(f"k{t}{o} AS (SELECT y.r AS p, z.r AS q, SUM(y.x * z.x) AS g FROM {now[o]} y JOIN {now[o]} z ON y.idx = z.idx GROUP BY 1, 2)" for o in (p, q)),
+                f"d{t} AS (SELECT b.idx, y.q AS r, SUM(b.x * y.g * z.g) AS x FROM b{t} b JOIN k{t}{p} y ON b.r = y.p JOIN k{t}{q} z ON y.p = z.p AND y.q = z.q GROUP BY 1, 2)",
+                f"n{t} AS (SELECT b.idx, b.r, b.x * p.x / (d.x + 1e-17) AS x FROM b{t} b JOIN p{t} p ON b.idx = p.idx AND b.r = p.r JOIN d{t} d ON b.idx = d.idx AND b.r = d.r)",
+                f"l{t} AS (SELECT r, sqrt(SUM(x * x)) AS n FROM n{t} GROUP BY 1)",
+                f"c{t} AS (SELECT f.idx, f.r, f.x / l.n AS x FROM n{t} f JOIN l{t} l ON f.r = l.r)",
+            ]
+            now[m], lam = f"c{t}", f"l{t}"
+        out.append(f"w{it} AS (SELECT a.idx AS i0, b.idx AS i1, c.idx AS i2, SUM(a.x * b.x * c.x) AS x FROM {now[0]} a JOIN {now[1]} b ON a.r = b.r JOIN n{it}2 c ON a.r = c.r GROUP BY 1, 2, 3)")
+        rows.append(f"SELECT {it} AS it, round(sqrt(SUM((COALESCE(t.v, 0) - w.x) * (COALESCE(t.v, 0) - w.x)) / (SELECT SUM(v * v) FROM t)), 6) AS rel_error FROM w{it} w LEFT JOIN t ON t.i0 = w.i0 AND t.i1 = w.i1 AND t.i2 = w.i2")
+    return f"{TT}, {', '.join(out)} {' UNION ALL '.join(rows)}"
+
+
+@query(_ntf_rounds(2))
+def ntf_mu_rounds(spark, d):
+    t = t1(spark, d)
+    return ntf(t, K, "MU", 2, factors=fs(t)).metrics.select("it", F.round("rel_error", 6).alias("rel_error"))
+
+
+A2 = """a AS (SELECT CAST(o_custkey AS BIGINT) AS i, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS j, SUM(CAST(o_totalprice AS DOUBLE)) / 1000 AS v FROM orders GROUP BY 1, 2)"""
+
+
+@query(f"WITH {A2}, {W}, {H}, {_mu('h', 'u', 'j', 'w', 'SELECT a.j, f.r, SUM(a.v * f.x) AS x FROM a JOIN w f ON a.i = f.i GROUP BY 1, 2')} SELECT CAST((j - 1) // 12 AS BIGINT) AS year, r, round(AVG(x), 5) AS weight FROM u GROUP BY 1, 2")
+def topic_over_time(spark, d):
+    """Customers x months: the topics' weights of the months after an update, by year."""
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long")
+    a = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("i"), month.alias("j")).agg((F.sum(F.col("o_totalprice").cast("double")) / 1000).alias("v"))
+    w = w0(a)
+    rows = R.long_form(Factor.of(h0(a)).update(R.at_w(a, w), "MU", R.gram(w))[0].df, digits=None)
+    year = F.floor((F.col("idx") - 1) / 12).cast("long").alias("year")
+    return rows.groupBy(year, F.col("r").cast("long").alias("r")).agg(F.round(F.avg("x"), 5).alias("weight"))
+
+
 # ---- trees and graphs
 
 PS = f"WITH {A}, z AS (SELECT i, SUM(v) AS x FROM a GROUP BY 1), y AS (SELECT a.j, SUM(a.v * z.x) AS x FROM a JOIN z ON a.i = z.i GROUP BY 1)"
@@ -500,35 +682,73 @@ def node_split(spark, d):
 
 
 def _graph(spark, d):
-    a, s = m1(spark, d), R.symmetrize(s1(spark, d))
-    return R.transpose(a).where("j < 25").select("i", "j", "v"), s
+    """Part bucket x nation of the supplier, and nation x nation."""
+    li, sup = table(spark, d, "lineitem"), table(spark, d, "supplier")
+    rows = li.join(sup, li.l_suppkey == sup.s_suppkey)
+    a = rows.groupBy((F.col("l_partkey") % 50).cast("long").alias("i"), F.col("s_nationkey").cast("long").alias("j")).agg(F.sum(F.col("l_quantity").cast("double")).alias("v"))
+    return a, R.symmetrize(s1(spark, d))
+
 
+GRAPH = f"""{S}, s AS (SELECT i, j, SUM(v) / 2 AS v FROM (SELECT i, j, v FROM s0 UNION ALL SELECT j, i, v FROM s0) u GROUP BY 1, 2),
+ a AS (SELECT CAST(l_partkey % 50 AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS j, SUM(CAST(l_quantity AS DOUBLE)) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
 
-@query(f"""WITH {A}, {S}, s AS (SELECT i, j, SUM(v) / 2 AS v FROM (SELECT i, j, v FROM s0 UNION ALL SELECT j, i, v FROM s0) u GROUP BY 1, 2), x AS (SELECT j AS i, i AS j, v FROM a WHERE i < 25)
- SELECT round((SELECT SUM(v * v) FROM x) / (SELECT SUM(v * v) FROM s), 8) AS alpha, round((SELECT SUM(v * v) FROM x) / (SELECT SUM(v * v) FROM s) * (SELECT MAX(v) FROM s), 6) AS beta""")
+
+@query(f"""WITH {GRAPH}
+ SELECT round((SELECT SUM(v * v) FROM a) / (SELECT SUM(v * v) FROM s), 8) AS alpha, round((SELECT SUM(v * v) FROM a) / (SELECT SUM(v * v) FROM s) * (SELECT MAX(v) FROM s), 6) AS beta""")
 def default_alpha_beta(spark, d):
     a, s = _graph(spark, d)
     one = a.agg(F.sum(F.col("v") ** 2).alias("na")).join(s.agg(F.sum(F.col("v") ** 2).alias("ns"), F.max("v").alias("top")))
     return one.select(F.round(F.col("na") / F.col("ns"), 8).alias("alpha"), F.round(F.col("na") / F.col("ns") * F.col("top"), 6).alias("beta"))
 
 
+_JOINT = f"WITH {GRAPH}, {W}, {H.replace('SELECT DISTINCT j FROM a', 'SELECT j FROM a UNION SELECT j FROM s')}, {GW}, {GH}, sh AS (SELECT s.i AS j, h.r, SUM(s.v * h.x) AS x FROM s JOIN h ON s.j = h.j GROUP BY 1, 2)"
+
+
+def _start(spark, d):
+    a, s = _graph(spark, d)
+    return a, s, Factor.of(w0(a)), Factor.of(h0(a.select("j").unionByName(s.select("j"))))
+
+
+@query(f"""{_JOINT}, e AS (SELECT w.i, h.j, SUM(w.x * h.x) AS x FROM w JOIN h ON w.r = h.r GROUP BY 1, 2), f AS (SELECT p.j AS i, q.j, SUM(p.x * q.x) AS x FROM h p JOIN h q ON p.r = q.r GROUP BY 1, 2)
+ SELECT round((SELECT SUM((COALESCE(a.v, 0) - e.x) * (COALESCE(a.v, 0) - e.x)) FROM e LEFT JOIN a ON a.i = e.i AND a.j = e.j) / 1e6 + 0.5 * (SELECT SUM((COALESCE(s.v, 0) - f.x) * (COALESCE(s.v, 0) - f.x)) FROM f LEFT JOIN s ON s.i = f.i AND s.j = f.j) / 1e6, 5) AS objective""")
+def joint_objective(spark, d):
+    a, s, w, h = _start(spark, d)
+    value = objective(R.norm_sq(a), R.norm_sq(s), 0.5, w, h, h.times(a, "j", "i", w), h.times(s, "j", "i", h))
+    return spark.createDataFrame([(round(value / 1e6, 5),)], "objective double")
+
+
+@query(f"""{_JOINT}, {P}, hw AS (SELECT h.j, gw.q AS r, SUM(h.x * gw.g) AS x FROM h JOIN gw ON h.r = gw.p GROUP BY 1, 2), hh AS (SELECT h.j, gh.q AS r, SUM(h.x * gh.g) AS x FROM h JOIN gh ON h.r = gh.p GROUP BY 1, 2)
+ SELECT h.j AS idx, h.r, round(2 * (hw.x - COALESCE(p.x, 0)) + 2 * (hh.x - COALESCE(sh.x, 0)), 2) AS x FROM h LEFT JOIN p ON h.j = p.j AND h.r = p.r LEFT JOIN sh ON h.j = sh.j AND h.r = sh.r JOIN hw ON h.j = hw.j AND h.r = hw.r JOIN hh ON h.j = hh.j AND h.r = hh.r""")
+def grad_h(spark, d):
+    a, s, w, h = _start(spark, d)
+    return longer(gradients(0.5, w, h, h.times(a, "j", "i", w), w.times(a, "i", "j", h), h.times(s, "j", "i", h))[1].df, digits=2)
+
+
 @query(f"{BASE}, {GH}, {Q}, wg AS (SELECT w.i, gh.q AS r, SUM(w.x * gh.g) AS x FROM w JOIN gh ON w.r = gh.p GROUP BY 1, 2) SELECT w.i AS idx, w.r, round(2 * (wg.x - q.x), 3) AS x FROM w JOIN q ON w.i = q.i AND w.r = q.r JOIN wg ON w.i = wg.i AND w.r = wg.r")
 def grad_w(spark, d):
     a = m1(spark, d)
-    w, h = w0(a), h0(a)
-    g = R.gram(h)
-    j = w.join(R.a_h(a, h), "idx")
-    return longer(R.with_columns_of(j, [2 * (sum((F.col(f"f{p}") * float(g[p, r]) for p in range(K)), F.lit(0.0)) - F.col(f"m{r}")) for r in range(K)]), digits=3)
+    w, h = Factor.of(w0(a)), Factor.of(h0(a))
+    ah = h.times(a, "j", "i", w)
+    return longer(gradients(0.0, w, h, ah, h, h)[0].df, digits=3)
+
+
+_ONE = "(SELECT sqrt(SUM(x * x)) FROM (SELECT b.j, SUM(b.v * z.x) AS x FROM {0} b JOIN (SELECT i, SUM(v) AS x FROM {0} GROUP BY 1) z ON b.i = z.i GROUP BY 1) y)"
+
+
+@query(f"{_R2}, l AS (SELECT a.* FROM a JOIN b ON a.j = b.j WHERE x0 >= x1), o AS (SELECT a.* FROM a JOIN b ON a.j = b.j WHERE x0 < x1) SELECT round((COALESCE({_ONE.format('l')}, 0) + COALESCE({_ONE.format('o')}, 0) - {_ONE.format('a')}) / 1e6, 5) AS score")
+def node_score(spark, d):
+    """One power step each for the node and its two groups of columns."""
+    a = m1(spark, d)
+    side = node_split(spark, d).withColumnRenamed("idx", "j").persist()
+    sigma = [power_sigma(R.col_subset(a, side.where(F.col("first") == one).select("j")), 1) for one in (True, False)]
+    return spark.createDataFrame([(round(score(power_sigma(a, 1), sigma) / 1e6, 5),)], "score double")
 
 
 # ---- generators (the same integer arithmetic in SQL)
 
 
 def _u(seed: int, *keys: str) -> str:
-    h = f"CAST({seed % 1_000_003} AS BIGINT)"
-    for k in keys:
-        h = f"((({h} + {k} % 1000003) * 7919 + 104729) % 1000003)"
-    return f"((({h} * {h} % 1000003) * 31 + {h} * 17 + 11) % 1000003) / CAST(1000003 AS DOUBLE)"
+    return f"CAST('0x' || substr(md5(concat_ws(',', {', '.join([str(seed), *keys])})), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
 
 
 _CELLS = "SELECT CAST(x // 40 AS BIGINT) AS i, CAST(x % 40 AS BIGINT) AS j FROM (SELECT unnest(range(2400)) AS x) u"
@@ -536,22 +756,27 @@ _CELLS = "SELECT CAST(x // 40 AS BIGINT) AS i, CAST(x % 40 AS BIGINT) AS j FROM
 
 @query(f"SELECT i, j, {_u(5, 'i', 'j')} AS v FROM ({_CELLS}) c")
 def gen_uniform(spark, d):
-    return G.random_matrix(spark, "uniform", 60, 40, seed=5)
+    return G.random_matrix(spark, "uniform", 60, 40, seed=5, portable=True)
 
 
-@query(f"SELECT i, j, round({' + '.join(f'{_u(5 + 31 * r, "i")} * {_u(5 + 31 * r + 17, "j")}' for r in range(2))}, 9) AS v FROM ({_CELLS}) c")
+@query(f"SELECT i, j, round(greatest(sqrt(-2 * ln(1 - {_u(5, 'i', 'j')})) * cos({_u(5, 'i', 'j', '-1')} * 6.283185307179586), 0.0), 9) AS v FROM ({_CELLS}) c")
+def gen_normal(spark, d):
+    return G.random_matrix(spark, "normal", 60, 40, seed=5, portable=True).withColumn("v", F.round("v", 9))
+
+
+@query(f"SELECT i, j, round({' + '.join(f'{_u(5, "i", str(r), str(G.LEFT))} * {_u(5, "j", str(r), str(G.RIGHT))}' for r in range(2))}, 9) AS v FROM ({_CELLS}) c")
 def gen_lowrank(spark, d):
-    return G.random_matrix(spark, "lowrank", 60, 40, k=2, seed=5).withColumn("v", F.round("v", 9))
+    return G.random_matrix(spark, "lowrank", 60, 40, k=2, seed=5, portable=True).withColumn("v", F.round("v", 9))
 
 
-@query(f"SELECT i, j, {_u(5, 'i', 'j')} AS v FROM ({_CELLS}) c WHERE {_u(782, 'i', 'j')} < 0.1")
+@query(f"SELECT i, j, {_u(5, 'i', 'j')} AS v FROM ({_CELLS}) c WHERE {_u(5, 'i', 'j', str(G.CELL))} < 0.1")
 def gen_sparse_mask(spark, d):
-    return G.random_matrix(spark, "uniform", 60, 40, seed=5, density=0.1)
+    return G.random_matrix(spark, "uniform", 60, 40, seed=5, density=0.1, portable=True)
 
 
 @query(f"SELECT i, j, {_u(9, 'least(i, j)', 'greatest(i, j)')} AS v FROM (SELECT CAST(x // 40 AS BIGINT) AS i, CAST(x % 40 AS BIGINT) AS j FROM (SELECT unnest(range(1600)) AS x) u) c")
 def gen_symmetric(spark, d):
-    return G.random_matrix(spark, "uniform", 40, 40, seed=9, symmetric=True)
+    return G.random_matrix(spark, "uniform", 40, 40, seed=9, symmetric=True, portable=True)
 
 
 # ---- whole fits: data-dependent loops, held against invariants in tests
@@ -579,6 +804,10 @@ for _a in ("MU", "HALS", "ANLSBPP", "AOADMM", "NESTEROV", "CPALS"):
     query(None, f"ntf_{_a.lower()}")(lambda spark, d, _a=_a: ntf(t1(spark, d), 4, _a, 4).metrics)
 
 
+query(None, "nmf_r2")(lambda spark, d: nmf(m1(spark, d), 2, "R2", 5).metrics)
+query(None, "nmf_warm_start")(lambda spark, d: nmf(m1(spark, d), 5, "ANLSBPP", 3, warm_start=2).metrics)
+
+
 @query()
 def hier_tree(spark, d):
     return hier_nmf(m1(spark, d), 3, 4, power_iterations=4)[0]

@@ -3,70 +3,93 @@
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import matrix as R
-from tessella.plans.nmf import nmf
+from tessella.plans.factors import Factor
+from tessella.plans.nmf import Fit, nmf
 from tessella.session import written
 
 NODES = "index int, parent int, level int, n long, sigma double, score double, accepted boolean"
 
 
-def power_sigma(a: DataFrame, iterations: int = 20) -> float:
-    """Square of the largest singular value by power iteration; the vector is a factor of one column."""
-    ids = a.select(F.col("j").alias("idx")).distinct()
-    q = ids.select("idx", F.lit(1.0).alias("f0"))
+@dataclass
+class Tree:
+    """nodes; members (index, j); w (index, idx, f0, f1) and h of the rank-2 factors of every node that was split."""
+
+    nodes: DataFrame
+    members: DataFrame
+    w: DataFrame
+    h: DataFrame
+
+
+def power_sigma(a: DataFrame, iterations: int = 20, tol: float = 0.0) -> float:
+    """Square of the largest singular value by power iteration, one job a round; ends early if it changes by less than tol,
+    relatively."""
+    q = Factor.of(a.select(F.col("j").alias("idx")).distinct().select("idx", F.lit(1.0).alias("f0")))
     sigma = 0.0
     for _ in range(iterations):
-        z = R.a_h(a, q).withColumnRenamed("m0", "f0")
-        y = written(R.at_w(a, z), "power")
-        sigma = float(np.sqrt(y.agg(F.sum(F.col("m0") ** 2)).first()[0] or 0.0))
-        if sigma == 0:
+        y = q.filled(R.at_w(a, R.a_h(a, q.df).withColumnRenamed("m0", "f0")))
+        before, sigma = sigma, y.norm()
+        if sigma == 0 or tol and abs(sigma - before) <= tol * sigma:
             break
-        q = y.select("idx", (F.col("m0") / sigma).alias("f0"))
+        q = y.scaled(np.array([1 / sigma]))
     return sigma
 
 
-def split(a: DataFrame, columns: DataFrame, iterations: int, seed: int) -> list[DataFrame]:
-    """The two groups of columns (j), larger first; one group if all go together."""
-    sub = R.col_subset(a, columns)
+def split(sub: DataFrame, iterations: int, seed: int) -> tuple[list[tuple[DataFrame, int]], Fit]:
+    """The two groups of columns (j) with their sizes, larger first - one group if all go together - and the factors."""
     fit = nmf(sub, 2, "R2", iterations, seed=seed)
-    side = written(fit.h.select(F.col("idx").alias("j"), (F.col("f0") >= F.col("f1")).alias("first")), "side")
-    groups = [side.where("first").select("j"), side.where("NOT first").select("j")]
-    sized = sorted(((g.count(), i, g) for i, g in enumerate(groups)), key=lambda x: (-x[0], x[1]))
-    return [g for n, _, g in sized if n]
+    first = F.col("f0") >= F.col("f1")
+    side = written(fit.h.select(F.col("idx").alias("j"), first.alias("first")), "side")
+    sized = sorted(((n, not one, one) for one, n in side.groupBy("first").count().collect()), key=lambda x: (-x[0], x[1]))
+    return [(side.where(F.col("first") == one).select("j"), n) for n, _, one in sized], fit
 
 
-def hier_nmf(a: DataFrame, nodes: int = 4, iterations: int = 20, seed: int = 193957, power_iterations: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(nodes, members): a tree with nodes.index 2i + 1 and 2i + 2 below i, and (index, j).
+def score(sigma: float, children: list[float]) -> float:
+    """How much a split explains: the children's sigma less the node's; without children nothing."""
+    return sum(children) - sigma if children else 0.0
+
+
+def hier_fit(a: DataFrame, nodes: int = 4, iterations: int = 20, seed: int = 193957, power_iterations: int = 10) -> Tree:
+    """A tree with nodes.index 2i + 1 and 2i + 2 below i.
 
     A node's score is the sum of its children's sigma less its own; the best leaf is accepted next, and accepting splits
-    its children to look ahead. The tree has a few rows; members stay distributed.
+    its children to look ahead. A node's columns of the data are kept while it is worked on. The tree has a few rows;
+    members and factors stay distributed.
     """
     spark = a.sparkSession
     a = a.persist()
     kept: dict[int, dict] = {}
 
-    def add(index: int, parent: int, level: int, columns: DataFrame, sigma: float | None = None) -> dict:
-        columns = written(columns, "columns")
-        node = {"index": index, "parent": parent, "level": level, "cols": columns, "n": columns.count(), "accepted": False, "children": []}
-        node["sigma"] = power_sigma(R.col_subset(a, columns), power_iterations) if sigma is None else sigma
-        kept[index] = node
-        return node
-
     def look(node: dict) -> None:
+        """Sigma of a node and its children, which are added without theirs."""
         node["children"] = []
         if node["n"] > 1:
-            parts = split(a, node["cols"], iterations, seed)
-            if len(parts) == 2:
-                node["children"] = [add(2 * node["index"] + 1 + s, node["index"], node["level"] + 1, g) for s, g in enumerate(parts)]
-        node["score"] = sum(c["sigma"] for c in node["children"]) - node["sigma"] if node["children"] else 0.0
+            sub = (R.col_subset(a, node["cols"]) if node["index"] else a).persist()
+            try:
+                parts, fit = split(sub, iterations, seed)
+                node["fit"] = fit
+                if len(parts) == 2:
+                    for s, (cols, n) in enumerate(parts):
+                        child = {"index": 2 * node["index"] + 1 + s, "parent": node["index"], "level": node["level"] + 1, "cols": cols, "n": n, "accepted": False, "children": []}
+                        own = R.col_subset(sub, cols).persist()
+                        child["sigma"] = power_sigma(own, power_iterations)
+                        own.unpersist()
+                        kept[child["index"]] = child
+                        node["children"].append(child)
+            finally:
+                sub.unpersist()
+        node["score"] = score(node["sigma"], [c["sigma"] for c in node["children"]])
 
     try:
-        root = add(0, -1, 0, a.select("j").distinct(), 0.0)
+        columns = written(a.select("j").distinct(), "columns")
+        root = kept[0] = {"index": 0, "parent": -1, "level": 0, "cols": columns, "n": columns.count(), "sigma": 0.0, "accepted": False}
         look(root)
         queue = [(-root["score"], 0)]
         for _ in range(max(nodes - 1, 1)):
@@ -78,10 +101,17 @@ def hier_nmf(a: DataFrame, nodes: int = 4, iterations: int = 20, seed: int = 193
                 look(c)
                 heapq.heappush(queue, (-c["score"], c["index"]))
         rows = [(x["index"], x["parent"], x["level"], x["n"], x["sigma"], float(x.get("score", 0.0)), x["accepted"]) for x in sorted(kept.values(), key=lambda x: x["index"])]
-        members = None
-        for x in kept.values():
-            one = x["cols"].select(F.lit(x["index"]).alias("index"), "j")
-            members = one if members is None else members.unionByName(one)
-        return spark.createDataFrame(rows, NODES), members
+        every = lambda frames: reduce(DataFrame.unionByName, frames)
+        members = every([x["cols"].select(F.lit(x["index"]).alias("index"), "j") for x in kept.values()])
+        fits = [(x["index"], x["fit"]) for x in kept.values() if "fit" in x]
+        empty = spark.createDataFrame([], "index int, idx long, f0 double, f1 double")
+        w, h = (every([empty, *(f.select(F.lit(i).alias("index"), "*") for i, f in side)]) for side in ([(i, f.w) for i, f in fits], [(i, f.h) for i, f in fits]))
+        return Tree(spark.createDataFrame(rows, NODES), members, w, h)
     finally:
         a.unpersist()
+
+
+def hier_nmf(a: DataFrame, nodes: int = 4, iterations: int = 20, seed: int = 193957, power_iterations: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The nodes and members of hier_fit()."""
+    tree = hier_fit(a, nodes, iterations, seed, power_iterations)
+    return tree.nodes, tree.members

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import matrix as R
 from tessella.plans.factors import Factor
+from tessella.sources.generate import random_factor
 
-METRICS = "it int, objective double, fit_err_sq double, rel_error double, norm_w double, norm_h double, l12_w double, l12_h double, symmdiff double"
+METRICS = "it int, objective double, fit_err_sq double, rel_error double, norm_w double, norm_h double, l12_w double, l12_h double, symmdiff double, seconds double"
 
 
 @dataclass
@@ -36,12 +38,6 @@ def index(a: DataFrame, column: str, size: int | None) -> DataFrame:
     return spark.range(size).select(F.col("id").alias("idx")) if size else a.select(F.col(column).cast("long").alias("idx")).distinct()
 
 
-def random_factor(ids: DataFrame, k: int, seed: int) -> DataFrame:
-    from tessella.functions.columns import uniform
-
-    return ids.select("idx", *(uniform(seed + r, F.col("idx")).alias(f"f{r}") for r in range(k)))
-
-
 def _l12(f: Factor) -> float:
     return float(np.sqrt(np.sum(f.gram())))
 
@@ -98,6 +94,7 @@ def nmf(
         rows: list = []
         plan = ["HALS"] * warm_start + [algo] * iterations
         for it, rule in enumerate(plan):
+            began = time.perf_counter()
             extra = alpha * np.eye(k)
             if rule in ("ANLSBPP", "ALS", "R2"):
                 w, _ = w.update(R.a_h(a, h.df), rule, R.regularized(h.gram(), *reg_w) + extra, alpha, h if alpha else None)
@@ -109,7 +106,7 @@ def nmf(
             err = max(norm - 2 * dot + float((gw * gh).sum()), 0.0)
             gap = _gap(w, h) if symmetric else 0.0
             cost = err + reg_w[0] * np.trace(gw) + reg_h[0] * np.trace(gh) + reg_w[1] * gw.sum() + reg_h[1] * gh.sum() + alpha * gap**2
-            rows.append((it, float(cost), float(err), float(np.sqrt(err / norm)) if norm else 0.0, float(np.sqrt(np.trace(gw))), float(np.sqrt(np.trace(gh))), _l12(w), _l12(h), gap))
+            rows.append((it, float(cost), float(err), float(np.sqrt(err / norm)) if norm else 0.0, float(np.sqrt(np.trace(gw))), float(np.sqrt(np.trace(gh))), _l12(w), _l12(h), gap, time.perf_counter() - began))
             if tol > 0 and it and abs(rows[-2][1] - cost) <= tol * max(abs(cost), 1e-300):
                 break
         if not symmetric:
@@ -124,27 +121,9 @@ def nmf(
 def _gap(w: Factor, h: Factor) -> float:
     if w.values is not None and h.values is not None:
         return float(np.linalg.norm(w.values - h.values))
-    k = R.rank(w.df)
-    o = h.df.select("idx", *(F.col(f"f{r}").alias(f"o{r}") for r in range(k)))
-    d = w.df.join(o, "idx").agg(F.sum(sum(((F.col(f"f{r}") - F.col(f"o{r}")) ** 2 for r in range(k)), F.lit(0.0)))).first()[0]
-    return float(np.sqrt(d or 0.0))
-
-
-def numpy_product(a: DataFrame, ids: np.ndarray, values: np.ndarray, on: str, to: str, out_ids: np.ndarray) -> np.ndarray:
-    """Data times a factor held on the driver, for algorithms whose factors are bounded there."""
-    from tessella.plans.factors import frame
-
-    got = R.product(a, frame(a.sparkSession, ids, values), on, to).toPandas()
-    out = np.zeros((len(out_ids), values.shape[1]))
-    out[np.searchsorted(out_ids, got.idx.to_numpy())] = got[[f"m{r}" for r in range(values.shape[1])]].to_numpy()
-    return out
-
+    return w.map(np.subtract, h).norm()
 
-def driver_ids(spark: SparkSession, ids: DataFrame, k: int) -> np.ndarray:
-    """Ids on the driver after a check that ids times k fit its bound."""
-    from tessella.plans.factors import DRIVER_BYTES
 
-    n = ids.count()
-    if n * k * 8 > DRIVER_BYTES:
-        raise ValueError(f"{n} rows of {k} columns exceed the {DRIVER_BYTES} bytes that this algorithm holds on the driver")
-    return np.sort(ids.toPandas().idx.to_numpy())
+def timings(metrics: DataFrame) -> DataFrame:
+    """One row: least, mean and greatest seconds of a round, and all of them."""
+    return metrics.agg(F.min("seconds").alias("least"), F.avg("seconds").alias("mean"), F.max("seconds").alias("most"), F.sum("seconds").alias("total"))

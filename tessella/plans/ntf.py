@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tessella.operators import tensor as X
 from tessella.plans.factors import Factor
-from tessella.plans.nmf import random_factor
 from tessella.session import written
+from tessella.sources.generate import random_factor
 
 
 @dataclass
@@ -28,16 +29,14 @@ def split_mode(sizes: list[int]) -> int:
     return min(range(n - 1), key=lambda s: (max(np.prod([float(x) for x in sizes[: s + 1]]), np.prod([float(x) for x in sizes[s + 1 :]])), s))
 
 
-def _extrapolated(t: DataFrame, fs: list[Factor], lam: np.ndarray, before: list[np.ndarray], by: float, norm: float) -> tuple[list[Factor], np.ndarray, float]:
+def _extrapolated(t: DataFrame, fs: list[Factor], lam: np.ndarray, before: list[Factor], by: float, norm: float) -> tuple[list[Factor], np.ndarray, float]:
     """Factors moved on from their last change, kept nonnegative and normalized, their lengths and their error."""
-    spark, n = t.sparkSession, len(fs)
-    moved = [np.maximum(b + (f.values * (lam if m == n - 1 else 1) - b) * by, 0) for m, (f, b) in enumerate(zip(fs, before, strict=True))]
-    size = [np.linalg.norm(x, axis=0) for x in moved]
-    new = [Factor.here(spark, f.ids, x / np.where(s > 0, s, 1)) for f, x, s in zip(fs, moved, size, strict=True)]
+    n = len(fs)
+    moved = [f.map(lambda x, b, s=lam if m == n - 1 else 1.0: np.maximum(b + (x * s - b) * by, 0), b) for m, (f, b) in enumerate(zip(fs, before, strict=True))]
+    size = [np.sqrt(np.diag(x.gram())) for x in moved]
+    new = [x.scaled(1 / np.where(s > 0, s, 1)) for x, s in zip(moved, size, strict=True)]
     length = np.prod(size, axis=0)
-    product = X.mttkrp(t, [f.df for f in new], n - 1).toPandas().sort_values("idx")
-    at = np.searchsorted(new[-1].ids, product.idx.to_numpy())
-    dot = float((product.drop(columns="idx").to_numpy() * (new[-1].values[at] * length)).sum())
+    dot = new[-1].scaled(length).dot(new[-1].filled(X.mttkrp(t, [f.df for f in new], n - 1)))
     whole = float(length @ X.gram_hadamard([f.gram() for f in new]) @ length)
     return new, length, float(np.sqrt(max(norm + whole - 2 * dot, 0.0) / norm)) if norm else 0.0
 
@@ -48,7 +47,8 @@ def ntf(t: DataFrame, k: int = 20, algo: str = "ANLSBPP", iterations: int = 20,
     With dimtree the tensor is read twice a round: one partial product serves all modes left of the cut, one those
     right of it. start is what rules that depend on the current factor begin from: the factor times lambda, or as
     normalized. accelerate extrapolates all factors after the sixth round by (it + 1) ** (1 / e) and keeps the result if
-    the error falls; e grows after five failures. It needs factors on the driver. Metrics: it, rel_error, lambda_max.
+    the error falls; e grows after five failures. Metrics: it, rel_error,
+    lambda_max, seconds.
     """
     spark, algo, n = t.sparkSession, algo.upper(), X.order(t)
     t = t.select(*(F.col(f"i{m}").cast("long").alias(f"i{m}") for m in range(n)), F.col("v").cast("double").alias("v")).persist()
@@ -64,6 +64,7 @@ def ntf(t: DataFrame, k: int = 20, algo: str = "ANLSBPP", iterations: int = 20,
         cut, power, misses, before = split_mode([f.rows for f in fs]), 3, 0, None
         left, right, rows = list(range(cut + 1)), list(range(cut + 1, n)), []
         for it in range(iterations):
+            began = time.perf_counter()
             partial = None
             for m in range(n):
                 side, away = (left, right) if m in left else (right, left)
@@ -82,7 +83,7 @@ def ntf(t: DataFrame, k: int = 20, algo: str = "ANLSBPP", iterations: int = 20,
                 fs[m] = new.scaled(1 / np.where(lam > 0, lam, 1))
             whole = float(lam @ X.gram_hadamard([f.gram() for f in fs]) @ lam)
             err = np.sqrt(max(norm + whole - 2 * dot, 0.0) / norm) if norm else 0.0
-            if accelerate and all(f.values is not None for f in fs):
+            if accelerate:
                 if it > 5:
                     tried = _extrapolated(t, fs, lam, before, (it + 1) ** (1 / power), norm)
                     if tried[2] < err:
@@ -90,10 +91,10 @@ def ntf(t: DataFrame, k: int = 20, algo: str = "ANLSBPP", iterations: int = 20,
                     else:
                         misses += 1
                         power, misses = (power + 1, 0) if misses > 5 else (power, misses)
-                before = [f.values * (lam if m == n - 1 else 1) for m, f in enumerate(fs)]
-            rows.append((it, float(err), float(lam.max())))
+                before = [f.scaled(lam) if m == n - 1 else f for m, f in enumerate(fs)]
+            rows.append((it, float(err), float(lam.max()), time.perf_counter() - began))
             if tol > 0 and it and abs(rows[-2][1] - err) <= tol * max(err, 1e-300):
                 break
-        return CP([f.df for f in fs], lam.tolist(), spark.createDataFrame(rows, "it int, rel_error double, lambda_max double"), rows)
+        return CP([f.df for f in fs], lam.tolist(), spark.createDataFrame(rows, "it int, rel_error double, lambda_max double, seconds double"), rows)
     finally:
         t.unpersist()

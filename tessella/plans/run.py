@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.matrix import cols, rank
-from tessella.plans.hier import hier_nmf
+from tessella.plans.hier import hier_fit
 from tessella.plans.joint import joint_nmf
 from tessella.plans.nmf import nmf
 from tessella.plans.ntf import ntf
@@ -58,13 +58,13 @@ def run(spark: SparkSession, options: Mapping) -> dict[str, DataFrame]:
             fit = nmf(a, k, "ALS" if algo == "CPALS" else algo, its, shape, seed=seed, reg_w=(reg[0], reg[1]), reg_h=(reg[2], reg[3]), alpha=o["alpha"], symmetric=o["symmetric"], tol=o["tolerance"], normalization=o["normalization"])
             out = {"W": fit.w, "H": fit.h, "metrics": fit.metrics}
         elif o["program"] == "hiernmf":
-            nodes, members = hier_nmf(a, int(o["nodes"]), its, seed)
-            out = {"nodes": nodes, "members": members}
+            tree = hier_fit(a, int(o["nodes"]), its, seed)
+            out = {"nodes": tree.nodes, "members": tree.members, "node_W": tree.w, "node_H": tree.h}
         elif o["program"] == "jointnmf":
             made |= {"symmetric": True}
             s = matrix_source(spark, o["connections"], n, n, **(made if o["connections"].startswith("rand_") else {}))
             fit = joint_nmf(a, s, k, algo, its, shape, o["alpha"], o["beta"], o["momentum"], seed=seed)
-            out = {"W": fit.w, "H": fit.h, "metrics": fit.metrics}
+            out = {"W": fit.w, "H": fit.h, "metrics": fit.metrics} | ({"H2": fit.h2} if fit.h2 is not None else {})
         else:
             raise ValueError("program is nmf, ntf, hiernmf or jointnmf")
     if o["output"]:

@@ -36,7 +36,7 @@ def test_nmf_error_falls(low, algo):
 @pytest.mark.parametrize("algo", ["AOADMM", "NESTEROV", "ALS"])
 def test_nmf_trend(low, algo):
     rows = nmf(low, 3, algo, 6).rows
-    assert rows[-1][1] <= rows[0][1] * 1.01
+    assert rows[-1][1] <= rows[0][1] * 1.01 + 1e-6
 
 
 def test_lowrank_recovered(low):
@@ -157,7 +157,7 @@ def test_joint_gradients():
     a, s, w, h = rng.random((5, 6)), rng.random((6, 6)), rng.random((5, 2)), rng.random((6, 2))
     s = s + s.T
     cost = lambda w, h: objective((a**2).sum(), (s**2).sum(), 0.7, w, h, a @ h, s @ h)
-    gw, gh = gradients(0.7, w, h, a @ h, a.T @ w, s @ h)
+    gw, gh = (x.values for x in gradients(0.7, w, h, a @ h, a.T @ w, s @ h))
     for x, g in ((w, gw), (h, gh)):
         for at in ((0, 0), (3, 1)):
             e = np.zeros_like(x)
