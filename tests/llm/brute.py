@@ -88,10 +88,12 @@ def licenses(text, phrases):
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
 
 
-def license_share(text, template, threshold):
-    words, own = LICENSE_WORD.findall(lower(text)), set(template.split())
-    n = max(len(template.split()), len(own))
-    best = max((len(own & set(words[max(0, i) : i + n])) / len(own) for i in range(1 - n, len(words))), default=0)
+def license_share(text, must, notice, threshold=0.8, slack=1.5):
+    """The largest share of a notice's words in a block of at most slack times its length, if it meets the threshold."""
+    words, own, need = LICENSE_WORD.findall(lower(text)), set(notice.split()), set(must.split())
+    span = int(np.ceil(slack * len(notice.split()) - 1e-9))
+    blocks = (set(words[i : i + span]) for i in range(len(words)))
+    best = max((len(own & b) / len(own) for b in blocks if need <= b), default=0)
     return best if best >= threshold - 1e-9 else 0.0
 
 
@@ -102,3 +104,58 @@ def secrets(text, kinds):
         counts.append(len(found))
         out += [(m.start(), rank, kind, m.end()) for m in found]
     return *counts, hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(out)).encode()).hexdigest()
+
+
+def owned(rows, owners=2, repos=4):
+    """Value -> live-looking; rows are (value, owner, repository)."""
+    seen = {}
+    for v, o, r in rows:
+        seen.setdefault(v, (set(), set()))[0].add(o)
+        seen[v][1].add((o, r))
+    return {v: len(o) <= owners and len(r) <= repos for v, (o, r) in seen.items()}
+
+
+def longest(rows, length=20):
+    """doc_id -> the greatest of length, twice length .. of which a window starts earlier too."""
+    rows, out = sorted(rows), {}
+    words = {d: BLANK.findall(t or "") for d, t in rows}
+    while True:
+        seen, found = {}, False
+        for d, _ in rows:
+            for i in range(len(words[d]) - length + 1):
+                if seen.setdefault(tuple(words[d][i : i + length]), (d, i)) < (d, i):
+                    out[d], found = length, True
+        if not found:
+            return {d: out.get(d, 0) for d in words}
+        length *= 2
+
+
+def walked(trees, row):
+    """Probability by going down each tree node by node."""
+    total = trees.base
+    for root in trees.roots:
+        node = int(root)
+        while trees.left[node] != node:
+            node = int(trees.left[node]) + int(row[trees.feature[node]] > trees.threshold[node])
+        total += trees.value[node]
+    return 1 / (1 + np.exp(-total))
+
+
+def subsequences(word, letters=4, places=6, decay=0.6):
+    """Weight of each common pattern of so many letters of a word with its ends marked, by its first letter's place fixed."""
+    word, out = "\x02" + word + "\x03", {}
+    from itertools import combinations
+
+    for i in range(len(word)):
+        for rest in combinations(range(1, places), letters - 1):
+            if i + rest[-1] < len(word):
+                s = word[i] + "".join(word[i + r] for r in rest)
+                out.setdefault(s, []).append(decay ** (rest[-1] - letters + 1))
+    return out
+
+
+def kernel(a, b):
+    """The subsequence kernel of two words, normalised by the root of the summed squares of single occurrences."""
+    x, y = subsequences(a), subsequences(b)
+    norm = lambda z: sum(w * w for v in z.values() for w in v) ** 0.5
+    return sum(sum(x[s]) * sum(y[s]) for s in x.keys() & y.keys()) / (norm(x) * norm(y))

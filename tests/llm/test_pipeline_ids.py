@@ -15,7 +15,6 @@ def test_last_stage_has_ids(spark, odd, odd_rows, none, clash, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = corpus_pipeline.packing(spark, odd, "").toPandas()
     for i, text, *_ in odd_rows:
         own = got[got.doc_id == i].sort_values("start")
