@@ -12,7 +12,7 @@ the rest are known to repeat and go their own way by document, so a passage that
 more than a row for each batch on one task. The same holds for whole copies of a document: a task sends the first it meets,
 the later ones are known and are not cut into windows at all.
 
-Each word has two hashes of 64 bits. Minimisers come from the first and windows from the second, so windows taken for equal
+Each word has two hashes of 64 bits, by two functions. Minimisers come from the first and windows from the second, so windows taken for equal
 agree in both; whole copies agree in 128 bits of all their words.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm._session import written
-from tessella.llm._words import mix, window_hashes
+from tessella.llm._words import _M, mix, window_hashes
 
 _LOWEST = -(1 << 63)
 #: Documents of a batch within which equal windows are combined, and whole texts that a task remembers at a time.
@@ -41,10 +41,21 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def word_pairs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each word, which are halves of one of 128 bits."""
-    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
-    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The first hash of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def other_hashes(words: list[bytes]) -> np.ndarray:
+    """The second hash of each word, by another function."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _rows(batch: pa.RecordBatch, k: int):
+    """The rows of a batch from k on, at most ROWS, in the order of their documents, a few at a time as lists."""
+    order = np.argsort(batch.column(0).slice(k, ROWS).to_numpy(), kind="stable") + k
+    for j in range(0, len(order), 128):
+        yield from zip(*(c.take(pa.array(order[j : j + 128])).to_pylist() for c in batch.columns), strict=True)
 
 
 def minimisers(h: np.ndarray, n: int) -> np.ndarray:
@@ -103,27 +114,26 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 hs, ds, ps, alone = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-                for j in range(k, min(batch.num_rows, k + ROWS), 128):
-                    part = batch.slice(j, min(128, k + ROWS - j))
-                    for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                        words = split_words(text)
-                        if len(words) < length:
-                            continue
-                        whole = _whole(words)
-                        first = met.get(whole)
-                        if first is not None and first <= doc_id:
-                            if first < doc_id:
-                                alone.append((None, doc_id, -2, whole[1]))
-                            continue
-                        if len(met) >= WHOLES:
-                            met.clear()
-                        met[whole] = doc_id
-                        alone.append((whole[0], doc_id, -4, whole[1]))
-                        h = mix(window_hashes(word_pairs(words)[0], half))
-                        at = np.unique(minimisers(h, length - half + 1))
-                        hs.append(h[at]), ps.append(at), ds.append(np.full(len(at), doc_id))
+                for doc_id, text in _rows(batch, k):
+                    words = split_words(text)
+                    if len(words) < length:
+                        continue
+                    whole = _whole(words)
+                    first = met.get(whole)
+                    if first is not None and first <= doc_id:
+                        if first < doc_id:
+                            alone.append((None, doc_id, -2, whole[1]))
+                        continue
+                    if len(met) >= WHOLES:
+                        met.clear()
+                    met[whole] = doc_id
+                    alone.append((whole[0], doc_id, -4, whole[1]))
+                    h = mix(window_hashes(word_hashes(words), half))
+                    at = minimisers(h, length - half + 1)
+                    at = at[_firsts([at])]  # the minimisers of windows in a row do not go back
+                    hs.append(h[at]), ps.append(at), ds.append(np.full(len(at), doc_id))
                 h, d, p = np.concatenate(hs).view(np.int64), np.concatenate(ds), np.concatenate(ps)
-                order = np.lexsort((p, d, h))
+                order = np.argsort(h, kind="stable")  # by document and place within equal ones, as they come
                 h, d, p = h[order], d[order], p[order]
                 first = _firsts([h])
                 code = 4 * p + 2 * ~first + np.append(~first[1:], False)[: len(h)]
@@ -142,29 +152,29 @@ def _repeated(anchors: DataFrame) -> DataFrame:
     -1 - its order is told by doc_id - with the second half of the hash of its words."""
 
     def run(batches):
-        route, first, wait = None, None, None  # the run that goes on: its hashes, its first document, its first row if still alone
+        last = None  # the first row of the run that goes on, and whether it is out already
         for batch in batches:
-            docs, spots, wholes = [], [], []
-            for h, d, code, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            h, d, code, whole = (c.to_numpy() for c in batch.columns)
+            known = code & 2 > 0
+            docs, spots, wholes = [d[known]], [code[known] >> 2], [whole[known]]
+            h, d, code, whole = (x[~known] for x in (h, d, code, whole))
+            was = np.zeros(len(h), bool)
+            if last is not None:
+                h, d, code, whole, was = (np.append(x, y) for x, y in zip(last, (h, d, code, whole, was), strict=True))
+            if not len(h):
+                last = None
+            else:
                 pos = code >> 2
-                if code & 2:
-                    docs.append(d), spots.append(pos), wholes.append(whole)
-                    continue
-                if (h, whole, pos < 0) != route:
-                    route, first, wait = (h, whole, pos < 0), d, (d, pos)
-                    if code & 1 and pos >= 0:
-                        docs.append(d), spots.append(pos), wholes.append(0)
-                        wait = None
-                elif pos < 0:
-                    if d > first:
-                        docs.append(d), spots.append(-1), wholes.append(whole)
-                else:
-                    if wait:
-                        docs.append(wait[0]), spots.append(wait[1]), wholes.append(0)
-                        wait = None
-                    docs.append(d), spots.append(pos), wholes.append(0)
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spots, pa.int32()), pa.array(wholes, pa.int64())], names=["doc_id", "spot", "whole"])
+                new = _firsts([h, whole, pos < 0])
+                begin, run_of = np.flatnonzero(new), np.cumsum(new) - 1
+                out = np.where(pos < 0, d > d[begin][run_of], (np.bincount(run_of)[run_of] > 1) | (code & 1 > 0))
+                some = out & ~was
+                docs.append(d[some]), spots.append(pos[some]), wholes.append(np.where(pos[some] < 0, whole[some], 0))
+                at = begin[-1]
+                last = tuple(x[at : at + 1] for x in (h, d, code, whole, was | out))
+            d, p, w = (np.concatenate(x) for x in (docs, spots, wholes))
+            if len(d):
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p.astype(np.int32)), pa.array(w)], names=["doc_id", "spot", "whole"])
 
     rows = anchors.repartition("route").sortWithinPartitions("route", F.expr("code >= 0"), "whole", "doc_id", "code")
     return rows.mapInArrow(run, "doc_id long, spot int, whole long")
@@ -175,9 +185,10 @@ def _marked(packed: list[int], n: int) -> np.ndarray:
     out = np.zeros(n + BITS, bool)
     x = np.array(packed, np.int64)
     start, mask = x >> BITS, x & (1 << BITS) - 1
-    for i in range(BITS):
-        some = start[mask >> i & 1 > 0]
-        out[some[some < n] + i] = True
+    start, mask = start[start < n], mask[start < n]
+    if len(start):
+        row, bit = np.nonzero(mask[:, None] >> np.arange(int(mask.max()).bit_length()) & 1)
+        out[start[row] + bit] = True
     return out[:n]
 
 
@@ -194,31 +205,28 @@ def _windows(docs: DataFrame, length: int, first: bool) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 keys, hs, ds, rs, ss, es = [], [], [], [], [], []
-                for j in range(k, min(batch.num_rows, k + ROWS), 128):
-                    part = batch.slice(j, min(128, k + ROWS - j))
-                    for doc_id, row, text, hot in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                        words = split_words(text)
-                        if len(words) < length:
+                for doc_id, row, text, hot in _rows(batch, k):
+                    words = split_words(text)
+                    if len(words) < length:
+                        continue
+                    hot = _marked(hot, len(words) - half + 1)
+                    span = length - half + 1
+                    if not first:
+                        total = np.concatenate([[0], np.cumsum(hot)])
+                        start = np.flatnonzero(total[span:] - total[:-span] == span)
+                        if not len(start):
                             continue
-                        hot = _marked(hot, len(words) - half + 1)
-                        span = length - half + 1
-                        if not first:
-                            total = np.concatenate([[0], np.cumsum(hot)])
-                            start = np.flatnonzero(total[span:] - total[:-span] == span)
-                            if not len(start):
-                                continue
-                        one, two = word_pairs(words)
-                        anchor = mix(window_hashes(one, half))
-                        at = minimisers(anchor, span)
-                        if first:
-                            start = np.flatnonzero(hot[at])
-                        keys.append(anchor[at[start]]), hs.append(window_hashes(two, length)[start]), ss.append(start), es.append(at[start])
-                        ds.append(np.full(len(start), doc_id)), rs.append(np.full(len(start), row))
+                    anchor = mix(window_hashes(word_hashes(words), half))
+                    at = minimisers(anchor, span)
+                    if first:
+                        start = np.flatnonzero(hot[at])
+                    keys.append(anchor[at[start]]), hs.append(window_hashes(other_hashes(words), length)[start]), ss.append(start), es.append(at[start])
+                    ds.append(np.full(len(start), doc_id)), rs.append(np.full(len(start), row))
                 if not keys or not sum(map(len, keys)):
                     continue
                 key, h, d, r, s, e = (np.concatenate(x) for x in (keys, hs, ds, rs, ss, es))
                 d, r, s = d.astype(np.int64), r.astype(np.int64), s.astype(np.int64)
-                order = np.lexsort((s, d, h, key))
+                order = np.argsort(mix(key * _M ^ h), kind="stable")  # by document and place within equal ones, as they come
                 fresh = _firsts([key[order], h[order]])
                 lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))]
                 later, more = np.zeros(len(h), bool), np.zeros(len(h), bool)
