@@ -21,7 +21,12 @@ def test_without_the_corpus_operators(tmp_path):
         src = ROOT / name
         shutil.copytree(src, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if src.is_dir() else shutil.copy(src, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    run()
+    (tmp_path / "tessella" / "llm" / "__pycache__").mkdir(parents=True)  # what a deleted package may leave
+    run()
+    (tmp_path / "tessella" / "llm" / "queries.py").write_text("import a_package_that_is_not_there")
+    run()
 
 
 def test_nothing_else_imports_them():

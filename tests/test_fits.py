@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import kernels as K
 from tessella.operators import matrix as R
@@ -171,6 +172,63 @@ def test_acceleration_never_hurts(cube):
     assert rows[-1] <= ntf(cube, 2, "NESTEROV", 9).rows[-1][1] * 1.05
 
 
+@pytest.mark.parametrize("algo", ["ANLSBPP", "PGD", "PGNCG"])
+def test_joint_on_tables(spark, algo, monkeypatch):
+    a = random_matrix(spark, "lowrank", 6, 7, k=2, seed=1)
+    s = random_matrix(spark, "lowrank", 7, 7, k=2, seed=2, symmetric=True)
+    here = joint_nmf(a, s, 2, algo, 2)
+    monkeypatch.setattr(factors, "DRIVER_BYTES", 0)
+    there = joint_nmf(a, s, 2, algo, 2)
+    assert np.allclose([r[1] for r in here.rows], [r[1] for r in there.rows], rtol=1e-7)
+    assert (here.h2 is None) == (algo != "ANLSBPP") and (algo != "ANLSBPP" or there.h2.count() == 7)
+
+
+def test_gnsym_and_duals_on_tables(spark, low, monkeypatch):
+    a = random_matrix(spark, "lowrank", 8, 8, k=2, seed=3, symmetric=True)
+    fits = lambda: (nmf(a, 2, "GNSYM", 2).rows, nmf(low, 3, "AOADMM", 2).rows)
+    here = fits()
+    monkeypatch.setattr(factors, "DRIVER_BYTES", 0)
+    for x, y in zip(here, fits(), strict=True):
+        assert np.allclose([r[1] for r in x], [r[1] for r in y], rtol=1e-7)
+
+
+def test_acceleration_on_tables(spark, monkeypatch):
+    t = random_tensor(spark, "lowrank", [4, 3, 3], k=2, seed=3)
+    here = ntf(t, 2, "MU", 8, accelerate=True).rows
+    monkeypatch.setattr(factors, "DRIVER_BYTES", 0)
+    assert np.allclose([r[1] for r in here], [r[1] for r in ntf(t, 2, "MU", 8, accelerate=True).rows], rtol=1e-6)
+
+
+def test_active_set_is_bpp():
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=(12, 5))
+    g, m = c.T @ c, rng.normal(size=(40, 12)) @ c
+    x = K.bpp(g, m)
+    assert np.allclose(np.stack([K.active_set(g, r) for r in m]), x, atol=1e-8) and K.kkt(g, m, x).max() < 1e-8
+    a, b = rng.random((9, 3)), rng.random((9, 4))
+    assert K.nnls(a, b).shape == (4, 3)
+
+
+def test_node_factors_and_timings(low):
+    from tessella.plans.hier import hier_fit
+    from tessella.plans.nmf import timings
+
+    tree = hier_fit(low, 3, 4, power_iterations=3)
+    split = {r["index"] for r in tree.w.select("index").distinct().collect()}
+    assert 0 in split and tree.w.where("index = 0").count() == 30 and tree.h.where("index = 0").count() == 20
+    t = timings(nmf(low, 3, "MU", 3).metrics).first()
+    assert 0 < t.least <= t.mean <= t.most <= t.total
+
+
+def test_numbers_by_ranges(spark):
+    df = spark.range(1000).repartition(7).withColumn("k", (F.col("id") * 7919) % 1000)
+    assert [r["_n"] for r in R.numbered(df, "k").orderBy("k").collect()] == list(range(1000))
+    a = spark.createDataFrame([(i, j, 1.0) for i in range(20) for j in range(3)], "i long, j long, v double")
+    b, used = R.permuted(a, {"i": 4})
+    back = b.join(used["i"].withColumnRenamed("i", "old"), F.col("i") == F.col("_new")).select("old", "j", "v")
+    assert sorted(back.collect()) == sorted(a.collect()) and sorted(r["_new"] for r in used["i"].collect()) == list(range(20))
+
+
 def test_runs_from_options(spark, tmp_path):
     out = run(spark, {"program": "nmf", "algo": 0, "k": 2, "iterations": 2, "dims": [8, 6], "output": str(tmp_path / "o")})
     assert out["W"].count() == 8 and spark.read.parquet(str(tmp_path / "o/H")).count() == 6
