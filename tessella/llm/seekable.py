@@ -8,6 +8,7 @@ then the number of frames, a descriptor byte and a magic number. Any zstandard r
 from __future__ import annotations
 
 import struct
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -31,10 +32,15 @@ class Writer:
     def __init__(self, out, frame_bytes: int = FRAME_BYTES, level: int = 3) -> None:
         self.out, self.frame_bytes = out, frame_bytes // 4 * 4
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
-        self.buffer, self.table, self.docs, self.tokens = bytearray(), [], [], 0
+        self.buffer, self.table, self.tokens = bytearray(), [], 0
+        self.index = array("q"), array("Q"), array("Q"), array("B")  # as in _DOC
+
+    def __len__(self) -> int:
+        return len(self.index[0])
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((doc_id or 0, self.tokens, len(ids) // 4, doc_id is None))
+        for column, x in zip(self.index, (doc_id or 0, self.tokens, len(ids) // 4, doc_id is None), strict=True):
+            column.append(x)
         self.tokens += len(ids) // 4
         self.buffer += ids
         while len(self.buffer) >= self.frame_bytes:
@@ -50,8 +56,11 @@ class Writer:
     def close(self) -> None:
         if self.buffer:
             self._frame(len(self.buffer))
-        index = np.array(self.docs, _DOC).tobytes()
-        self.out.write(struct.pack("<II", SKIP_INDEX, len(index) + 8) + index + struct.pack("<Q", len(self.docs)))
+        docs = np.empty(len(self), _DOC)
+        for name, column in zip(_DOC.names, self.index, strict=True):
+            docs[name] = np.frombuffer(column, column.typecode) if len(column) else 0
+        index = docs.tobytes()
+        self.out.write(struct.pack("<II", SKIP_INDEX, len(index) + 8) + index + struct.pack("<Q", len(docs)))
         table = b"".join(struct.pack("<III", *row) for row in self.table)
         self.out.write(struct.pack("<II", SKIP_TABLE, len(table) + 9) + table + struct.pack("<IBI", len(self.table), CHECKSUMS, SEEKABLE))
 

@@ -15,6 +15,8 @@ from tessella.llm._session import scratch
 from tessella.llm.seekable import FRAME_BYTES, Reader, Writer
 from tessella.llm.tokens import encoder, groups
 
+#: Bytes of text in a shard, about; its index of documents is held in memory while it is written or read.
+SHARD_BYTES = 256 << 20
 _SHARDS = schema("shard int, file string, n_docs long, n_tokens long, n_bytes long")
 _BACK = schema("doc_id long, start long, n_tokens long, ids_crc32 long, shard int, position long")
 
@@ -22,15 +24,18 @@ _BACK = schema("doc_id long, start long, n_tokens long, ids_crc32 long, shard in
 def write_token_files(docs: DataFrame, vocabulary: str, mode: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Encode every text, append end_id and write the ids in ascending document order, one file for each range of ids.
 
-    The ranges are Spark's; a shard's number follows the order. A file carries the number of the attempt that wrote it
-    and only a finished attempt reports its file, so a task that is run again or lost leaves nothing wrong behind.
-    Returns the shards (shard, file, n_docs, n_tokens, n_bytes) in order with start, the ids in all shards before; this
-    is one row a file, so the driver may hold it. Null texts count as empty, null ids come first, rows with one id
-    stand by text; other columns are not read. An empty table gives no shard.
+    The ranges are Spark's, as many as keep a shard at about SHARD_BYTES of text and at least as many as a shuffle has; a
+    shard's number follows the order. A file carries the number of the attempt that wrote it and only a finished attempt
+    reports its file, so a task that is run again or lost leaves nothing wrong behind. Returns the shards (shard, file,
+    n_docs, n_tokens, n_bytes) in order with start, the ids in all shards before; this is one row a file, so the driver
+    may hold it. Null texts count as empty, null ids come first, rows with one id stand by a hash of their text, so that
+    they may be dealt to several shards; other columns are not read. An empty table gives no shard.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards_ = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    rows = rows.repartitionByRange(shards_, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def write(batches):
         from pyarrow import fs
@@ -58,7 +63,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, mode: str, end_id: int,
             writer.close()
             n_bytes = out.tell()
             out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "file": [name], "n_docs": [len(writer.docs)], "n_tokens": [writer.tokens], "n_bytes": [n_bytes]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "file": [name], "n_docs": [len(writer)], "n_tokens": [writer.tokens], "n_bytes": [n_bytes]})
 
     shards = sorted(rows.mapInArrow(write, _SHARDS).collect())
     start, out = 0, []
