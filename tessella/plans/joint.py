@@ -69,13 +69,13 @@ def _newton(gw_: Factor, gh_: Factor, w: Factor, h: Factor, alpha: float, bound_
     return x
 
 
-def joint_nmf(a: DataFrame, s: DataFrame, k: int = 20, algo: str = "ANLSBPP", iterations: int = 20, shape: tuple[int, int] | None = None, alpha: float | None = None, beta: float | None = None, momentum: float = 0.9, momentum_sign: float = 1.0, seed: int = 193957, checks: int = 20) -> Joint:
+def joint_nmf(a: DataFrame, s: DataFrame, k: int = 20, algo: str = "ANLSBPP", iterations: int = 20, shape: tuple[int, int] | None = None, alpha: float | None = None, beta: float | None = None, momentum: float = 0.9, momentum_sign: float = 1.0, seed: int = 193957, checks: int = 20, inner: int = 20) -> Joint:
     """Fit by ANLSBPP (with a second copy of H tied to it by beta), PGD or PGNCG.
 
     a (i, j, v) has the features, s (i, j, v) the symmetric connections of the ids j. alpha defaults to the ratio of
     squared norms, beta to alpha times the largest connection. Products with data are distributed jobs; factors are on the
     driver or, if they are large, tables. A line search halves the step up to `checks` times, AT_ONCE steps in one product
-    each of A and S; a failed one takes a small step. metrics: it, objective, seconds.
+    each of A and S; a failed one takes a small step. PGNCG takes at most `inner` conjugate gradients a round. metrics: it, objective, seconds.
     """
     spark, algo = a.sparkSession, algo.upper()
     if algo not in ("ANLSBPP", "PGD", "PGNCG"):
@@ -115,7 +115,7 @@ def joint_nmf(a: DataFrame, s: DataFrame, k: int = 20, algo: str = "ANLSBPP", it
                     t = np.hypot(w.norm(), h.norm())
                     t = min(t, 4 * last) if last else t  # a line search begins near the last step that did
                 else:
-                    xw, xh = _newton(gw_, gh_, w, h, alpha)
+                    xw, xh = _newton(gw_, gh_, w, h, alpha, steps=inner)
                     t = 1.0
                 found = None
                 for c in range(0, checks, AT_ONCE):
