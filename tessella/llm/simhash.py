@@ -68,9 +68,12 @@ def _wildcards(df: DataFrame, segment: str, bits: int, name: str) -> DataFrame:
 
 
 def _counted(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Rows whose keys are shared, with their number, as a written table."""
-    marks = ", ".join(keys)
-    return written(df.withColumn("n", F.expr(f"count(1) OVER (PARTITION BY {marks})")).where("n > 1"), name)
+    """Rows whose keys are shared, with their number, as a written table.
+
+    Keys are counted before the shuffle and the counts joined back, so the rows of a hot key can be split over tasks.
+    """
+    shared = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return written(df.join(shared, keys), name)
 
 
 def _verified(df: DataFrame, keys: list[str], most: int) -> DataFrame:
