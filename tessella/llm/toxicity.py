@@ -211,7 +211,8 @@ def _units(sample: DataFrame) -> DataFrame:
 
 
 def _sentences(sample: DataFrame, own: set[str], stems: set[str]) -> DataFrame:
-    """label, hit (whether a selected word or stem stands in it) and words of the sentences of the sample."""
+    """label, hit (whether a selected word or stem stands in it) and words of the sentences of the sample; as for _units(), a
+    few partitions do, of which each sends its best to the driver."""
 
     def run(batches):
         for batch in batches:
@@ -226,7 +227,7 @@ def _sentences(sample: DataFrame, own: set[str], stems: set[str]) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["toxic", "hit", "words"])
 
-    return sample.mapInArrow(run, "toxic boolean, hit boolean, words string").distinct()
+    return sample.mapInArrow(run, "toxic boolean, hit boolean, words string").distinct().coalesce(8)
 
 
 def _chosen(found: DataFrame, most: int) -> list[list[str]]:
