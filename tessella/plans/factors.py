@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +20,17 @@ DRIVER_BYTES = 64 << 20
 
 
 def frame(spark: SparkSession, ids: np.ndarray, values: np.ndarray) -> DataFrame:
-    data = {"idx": ids.astype(np.int64)} | {f"f{r}": values[:, r] for r in range(values.shape[1])}
-    return spark.createDataFrame(pd.DataFrame(data))
+    """Of known size, so that Catalyst broadcasts it below its threshold and no other."""
+    names = cols(values.shape[1])
+    rows = [pa.array(ids.astype(np.int64)), *(pa.array(np.ascontiguousarray(values[:, r], np.float64)) for r in range(len(names)))]
+    return spark.createDataFrame(pa.Table.from_arrays(rows, names=["idx", *names]))
+
+
+def _arrays(df: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and values of a small table (idx, name0 ..), as they come."""
+    got = df.toArrow()
+    values = [got.column(c).to_numpy() for c in cols(rank(df, name), name)]
+    return got.column("idx").to_numpy(), np.stack(values, 1) if values else np.zeros((got.num_rows, 0))
 
 
 def _schema(names: Sequence[str]) -> T.StructType:
@@ -44,8 +52,9 @@ class Factor:
         """Settle a factor: its size is counted first and decides where it lives."""
         k, n = rank(df), df.count()
         if n * k * 8 <= DRIVER_BYTES:
-            got = df.select("idx", *cols(k)).toPandas().sort_values("idx")
-            return cls.here(df.sparkSession, got.idx.to_numpy(), got[cols(k)].to_numpy())
+            ids, values = _arrays(df.select(F.col("idx").cast("long").alias("idx"), *(F.col(c).cast("double").alias(c) for c in cols(k))), "f")
+            order = np.argsort(ids, kind="stable")
+            return cls.here(df.sparkSession, ids[order], values[order])
         return cls(df.sparkSession, n, written(df.select("idx", *cols(k)), "factor"))
 
     @classmethod
@@ -106,10 +115,9 @@ class Factor:
         """The rows (idx, m0 ..) of a product as a factor with this factor's ids: other rows go, ids without a row have zeros."""
         k = rank(product, "m")
         if self.values is not None:
-            got = product.toPandas()
-            out, ids = np.zeros((len(self.ids), k)), got.idx.to_numpy()
+            out, (ids, got) = np.zeros((len(self.ids), k)), _arrays(product, "m")
             own = np.isin(ids, self.ids)
-            out[np.searchsorted(self.ids, ids[own])] = got[cols(k, "m")].to_numpy()[own]
+            out[np.searchsorted(self.ids, ids[own])] = got[own]
             return Factor.here(self.spark, self.ids, out)
         rows = self.df.select("idx").join(product, "idx", "left").fillna(0.0)
         return Factor(self.spark, self.rows, written(rows.select("idx", *(F.col(f"m{r}").alias(f"f{r}") for r in range(k))), "product"))

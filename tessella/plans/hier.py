@@ -28,27 +28,42 @@ class Tree:
     h: DataFrame
 
 
-def power_sigma(a: DataFrame, iterations: int = 20, tol: float = 0.0) -> float:
-    """Square of the largest singular value by power iteration, one job a round; ends early if it changes by less than tol,
-    relatively."""
-    q = Factor.of(a.select(F.col("j").alias("idx")).distinct().select("idx", F.lit(1.0).alias("f0")))
-    sigma = 0.0
+def power_sigmas(a: DataFrame, groups: Factor, iterations: int = 20, tol: float = 0.0) -> np.ndarray:
+    """Squares of the largest singular values of groups of columns by power iteration, all groups in one job a round.
+
+    groups has a row for each j and a column for each group, 1 where j is in it, else 0; groups do not overlap. A group ends
+    early if its value changes by less than tol, relatively.
+    """
+    q = groups
+    sigma, ended = np.zeros(groups.width), np.zeros(groups.width, bool)
     for _ in range(iterations):
-        y = q.filled(R.at_w(a, R.a_h(a, q.df).withColumnRenamed("m0", "f0")))
-        before, sigma = sigma, y.norm()
-        if sigma == 0 or tol and abs(sigma - before) <= tol * sigma:
+        product = R.a_h(a, q.df)
+        y = q.filled(R.at_w(a, product.withColumnsRenamed({f"m{r}": f"f{r}" for r in range(groups.width)}))).map(np.multiply, groups)
+        new = np.sqrt(np.maximum(np.diag(y.gram()), 0.0))
+        close = (new == 0) | (tol * new >= np.abs(new - sigma)) & (tol > 0)
+        sigma = np.where(ended, sigma, new)
+        ended |= close
+        if ended.all():
             break
-        q = y.scaled(np.array([1 / sigma]))
+        q = y.scaled(np.divide(1.0, new, out=np.zeros_like(new), where=new > 0))
     return sigma
 
 
-def split(sub: DataFrame, iterations: int, seed: int) -> tuple[list[tuple[DataFrame, int]], Fit]:
-    """The two groups of columns (j) with their sizes, larger first - one group if all go together - and the factors."""
+def power_sigma(a: DataFrame, iterations: int = 20, tol: float = 0.0) -> float:
+    """power_sigmas() of all columns together."""
+    return float(power_sigmas(a, Factor.of(a.select(F.col("j").alias("idx")).distinct().select("idx", F.lit(1.0).alias("f0"))), iterations, tol)[0])
+
+
+def split(sub: DataFrame, iterations: int, seed: int) -> tuple[list[tuple[DataFrame, int]], Factor | None, Fit]:
+    """The two groups of columns (j) with their sizes, larger first - one group if all go together -, both as groups of
+    power_sigmas(), and the factors."""
     fit = nmf(sub, 2, "R2", iterations, seed=seed)
     first = F.col("f0") >= F.col("f1")
     side = written(fit.h.select(F.col("idx").alias("j"), first.alias("first")), "side")
     sized = sorted(((n, not one, one) for one, n in side.groupBy("first").count().collect()), key=lambda x: (-x[0], x[1]))
-    return [(side.where(F.col("first") == one).select("j"), n) for n, _, one in sized], fit
+    parts = [(side.where(F.col("first") == one).select("j"), n) for n, _, one in sized]
+    groups = Factor.of(side.select(F.col("j").alias("idx"), *((F.col("first") == one).cast("double").alias(f"f{r}") for r, (_, _, one) in enumerate(sized)))) if len(sized) == 2 else None
+    return parts, groups, fit
 
 
 def score(sigma: float, children: list[float]) -> float:
@@ -71,20 +86,18 @@ def hier_fit(a: DataFrame, nodes: int = 4, iterations: int = 20, seed: int = 193
         """Sigma of a node and its children, which are added without theirs."""
         node["children"] = []
         if node["n"] > 1:
-            sub = (R.col_subset(a, node["cols"]) if node["index"] else a).persist()
+            sub = R.col_subset(a, node["cols"]).persist() if node["index"] else a
             try:
-                parts, fit = split(sub, iterations, seed)
+                parts, groups, fit = split(sub, iterations, seed)
                 node["fit"] = fit
-                if len(parts) == 2:
-                    for s, (cols, n) in enumerate(parts):
-                        child = {"index": 2 * node["index"] + 1 + s, "parent": node["index"], "level": node["level"] + 1, "cols": cols, "n": n, "accepted": False, "children": []}
-                        own = R.col_subset(sub, cols).persist()
-                        child["sigma"] = power_sigma(own, power_iterations)
-                        own.unpersist()
-                        kept[child["index"]] = child
-                        node["children"].append(child)
+                sigmas = power_sigmas(sub, groups, power_iterations).tolist() if groups else []
+                for s, ((cols, n), sigma) in enumerate(zip(parts, sigmas)):
+                    child = {"index": 2 * node["index"] + 1 + s, "parent": node["index"], "level": node["level"] + 1, "cols": cols, "n": n, "sigma": sigma, "accepted": False, "children": []}
+                    kept[child["index"]] = child
+                    node["children"].append(child)
             finally:
-                sub.unpersist()
+                if node["index"]:
+                    sub.unpersist()
         node["score"] = score(node["sigma"], [c["sigma"] for c in node["children"]])
 
     try:

@@ -237,3 +237,26 @@ def test_runs_from_options(spark, tmp_path):
     assert run(spark, {"program": "jointnmf", "k": 2, "iterations": 1, "dims": [5, 6]})["H"].count() == 6
     with pytest.raises(ValueError):
         run(spark, {"nonsense": 1})
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_power_of_groups(spark, low, monkeypatch, limit):
+    """Groups of columns at once give what each gives alone, on the driver and on tables; an empty group gives zero."""
+    from tessella.plans import factors
+    from tessella.plans.hier import power_sigmas
+
+    if limit is not None:
+        monkeypatch.setattr(factors, "DRIVER_BYTES", limit)
+    groups = factors.Factor.of(spark.range(20).select(F.col("id").alias("idx"), *((F.col("id") % 2 == r).cast("double").alias(f"f{r}") for r in range(2)), F.lit(0.0).alias("f2")))
+    got = power_sigmas(low, groups, 15 if limit is None else 3)
+    cells = low.toPandas()
+    dense = np.zeros((30, 20))
+    dense[cells.i, cells.j] = cells.v
+    for r in range(2):
+        q = np.ones(10)
+        for _ in range(15 if limit is None else 3):
+            y = dense[:, r::2].T @ (dense[:, r::2] @ q)
+            q, sigma = y / np.linalg.norm(y), np.linalg.norm(y)
+        assert got[r] == pytest.approx(sigma, rel=1e-9)
+    assert got[2] == 0
+    assert power_sigmas(low, groups, 40, 1e-12)[0] == pytest.approx(np.linalg.svd(dense[:, ::2])[1][0] ** 2, rel=1e-6)
