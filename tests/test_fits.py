@@ -242,7 +242,6 @@ def test_runs_from_options(spark, tmp_path):
 @pytest.mark.parametrize("limit", [None, 0])
 def test_power_of_groups(spark, low, monkeypatch, limit):
     """Groups of columns at once give what each gives alone, on the driver and on tables; an empty group gives zero."""
-    from tessella.plans import factors
     from tessella.plans.hier import power_sigmas
 
     if limit is not None:
@@ -259,4 +258,5 @@ def test_power_of_groups(spark, low, monkeypatch, limit):
             q, sigma = y / np.linalg.norm(y), np.linalg.norm(y)
         assert got[r] == pytest.approx(sigma, rel=1e-9)
     assert got[2] == 0
-    assert power_sigmas(low, groups, 40, 1e-12)[0] == pytest.approx(np.linalg.svd(dense[:, ::2])[1][0] ** 2, rel=1e-6)
+    if limit is None:
+        assert power_sigmas(low, groups, 40, 1e-12)[0] == pytest.approx(np.linalg.svd(dense[:, ::2])[1][0] ** 2, rel=1e-6)
