@@ -71,9 +71,10 @@ def _counted(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Rows whose keys are shared, with their number, as a written table.
 
     Keys are counted before the shuffle and the counts joined back, so the rows of a hot key can be split over tasks.
+    Catalyst takes exploded rows to be no larger than what they come from, so the hint keeps them out of a broadcast.
     """
     shared = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return written(df.join(shared, keys), name)
+    return written(df.join(shared.hint("merge"), keys), name)
 
 
 def _verified(df: DataFrame, keys: list[str], most: int) -> DataFrame:

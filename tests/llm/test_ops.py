@@ -129,6 +129,19 @@ def test_links_when_signatures_are_hot(spark, group):
     assert all(len(s) == 1 for s in same.values()) and len({next(iter(s)) for s in same.values()}) == len(same)
 
 
+def test_signatures_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], simhash.written
+
+    def planned(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", planned)
+    simhash.near_links(spark.range(24).select(F.col("id").alias("fp")), group=8)
+    plans = [plan for name, plan in plans if name == "signatures"]
+    assert len(plans) == 2 and not any("Broadcast" in plan for plan in plans)
+
+
 def test_hot_signature_is_counted_before_the_shuffle(spark):
     """Half of the fingerprints share their lower half: a count of them leaves a task as one row."""
     rows = [(i << 32 | 7,) for i in range(1, 2000)] + [((i * 2654435761) & 0x7FFFFFFFFFFFFFFF,) for i in range(1, 2000)]
