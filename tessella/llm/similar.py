@@ -183,7 +183,8 @@ def similar_links(texts: DataFrame, width: int = 5, threshold: float = 0.8) -> D
     near = near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).unionByName(banded.join(prints, "fp").where("key != lead").select(F.col("lead").alias("a"), F.col("key").alias("b")))
     every = banded.select("key", "n", F.explode("bands").alias("band"))
     least = every.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "n")).alias("x")).where("m > 1")
-    groups = every.join(least.select("band", F.col("x.key").alias("lead"), F.col("x.n").alias("lead_n")), "band")
+    # Catalyst takes exploded bands to be no larger than what they come from: the hint keeps them out of a broadcast
+    groups = every.join(least.select("band", F.col("x.key").alias("lead"), F.col("x.n").alias("lead_n")).hint("merge"), "band")
     groups = written(groups, "bands")
     first = groups.where(_fits(threshold) & (F.col("key") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("key").alias("b"))
     stars = written(first.unionByName(near).distinct(), "stars")

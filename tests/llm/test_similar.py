@@ -13,6 +13,8 @@ import brute  # noqa: E402
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
 
+from tessella.llm import similar  # noqa: E402
+
 
 def shingled(text):
     words = brute.BLANK.findall(brute.lower(text))
@@ -48,6 +50,24 @@ def test_similar_texts(spark, odd, odd_rows, none, clash):
     assert stage(spark, clash).count() == len(kept([(i, r.text) for i, r in enumerate(clash.collect())]))
 
 
+def test_bands_are_not_broadcast(spark, monkeypatch):
+    plans, write = {}, similar.written
+
+    class Planned(Exception):
+        pass
+
+    def planned(df, name):
+        if name == "bands":
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            raise Planned
+        return write(df, name)
+
+    monkeypatch.setattr(similar, "written", planned)
+    with pytest.raises(Planned):
+        similar.similar_links(spark.createDataFrame([(1, "a b c"), (2, "d e f")], "key long, text string"))
+    assert "explode" in plans["bands"] and "Broadcast" not in plans["bands"]
+
+
 def test_similar_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert sorted(r.doc_id for r in stage(spark, docs).collect()) == kept([(r.doc_id, r.text) for r in docs.collect()])
