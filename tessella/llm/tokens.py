@@ -22,10 +22,12 @@ CACHE_PARTS = 800_000
 CACHE_CHARS = 40
 #: A private-use character, put where a text is cut.
 CUT = "\ue001"
-#: A stop or comma before a blank is a pre-token of its own, unless another sign stands before it.
-ODD_STOP = re.compile(r"[.,](?<=(?:[^\w \n]|_)[.,])\s|^[.,]")
+#: A stop or comma before a blank is a pre-token of its own, unless another sign stands before it or the text begins with
+#: it; the latter is asked apart, as a pattern with a begin in it is tried at every character.
+ODD_STOP = re.compile(r"[.,](?<=(?:[^\w \n]|_)[.,])\s")
 #: Where a blank belongs to the sign after it, one before the stop counts as well.
-ODD_LEAD = re.compile(r"[.,](?<=(?:[^\w\n]|_)[.,])\s|^[.,]")
+ODD_LEAD = re.compile(r"[.,](?<=(?:[^\w\n]|_)[.,])\s")
+STOPS = (".", ",")
 #: A word, perhaps after a blank, and ASCII signs other than the apostrophe after it.
 WORD = re.compile(r"( ?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 #: Blanks in a row are shared out among pre-tokens in another way.
@@ -80,10 +82,10 @@ class Encoder:
             text = text.replace("\n", " ")
             if "\u03a3" not in text:  # the one letter whose lower case depends on its place
                 text = text.lower()
-                if not ODD_STOP.search(text):
+                if not text.startswith(STOPS) and not ODD_STOP.search(text):
                     text = text.replace(", ", " , ").replace(". ", " . ")
             return text.split(" ")
-        if ODD_BLANK.search(text) or ODD_LEAD.search(text) or CUT in text:
+        if text.startswith(STOPS) or ODD_BLANK.search(text) or ODD_LEAD.search(text) or CUT in text:
             return re.split(r"(?<=\S)(?= )", text)
         text = text.replace(" ", CUT + " ").replace("\n", f"{CUT}\n{CUT}")
         return text.replace("," + CUT, f"{CUT},{CUT}").replace("." + CUT, f"{CUT}.{CUT}").split(CUT)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tessella.llm import boosting, decontamination, licenses, neighbours, packing, quality, secrets, simhash, substrings, token_files, toxicity  # noqa: E402
+from tessella.llm import boosting, decontamination, licenses, neighbours, packing, quality, secrets, simhash, substrings, token_files, tokens, toxicity  # noqa: E402
 from tessella.llm._session import scratch  # noqa: E402
 from tessella.llm._words import window_hashes, word_hashes  # noqa: E402
 from tessella.llm.components import components  # noqa: E402
@@ -31,6 +31,14 @@ def plain_tokenizer(path):
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("path", "mode"), [(WORD, "drop"), (BYTE, "lead")])
+def test_stops_at_the_begin(path, mode):
+    coder, plain = Encoder(path, mode), plain_tokenizer(path)
+    texts = [a + b + c + d for a in ("", "x", " ", "_", "!", ".", "\n") for b in ".," for c in (" ", "\n", "\t", "") for d in ("", "y", ".", ", z. w")]
+    assert [np.frombuffer(c, "<u4").tolist() for c in coder.encode(texts)] == [plain(t) for t in texts]
+    assert "^" not in tokens.ODD_STOP.pattern.replace("[^", "") + tokens.ODD_LEAD.pattern.replace("[^", "")  # else tried at every character
+
+
 @pytest.mark.parametrize(("path", "mode"), [(WORD, "drop"), (BYTE, "lead")])
 def test_encoder(path, mode):
     rng = random.Random(1)
