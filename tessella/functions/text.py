@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def plain(text: Column) -> Column:
     """Lower case without tags, entities and addresses."""
-    for pattern in (r"<[^>]*>", r"&[a-zA-Z#0-9]+;", r"https?://\S+"):
+    for pattern in (r"<[^>]*>", r"&[a-zA-Z#0-9]+;", r"https?://[^ \t\n\r\f]+"):
         text = F.regexp_replace(text, pattern, " ")
     return F.lower(text)
 
@@ -18,5 +18,5 @@ def plain(text: Column) -> Column:
 def terms(text: Column, stop: Sequence[str] = (), least: int = 1) -> Column:
     """Runs of a-z of at least so many letters, without stop words."""
     found = F.regexp_extract_all(plain(text), F.lit("([a-z]+)"), F.lit(1))
-    kept = F.array_except(F.array_distinct(found), F.array(*map(F.lit, stop)).cast("array<string>"))
-    return F.filter(found, lambda t: (F.length(t) >= least) & F.array_contains(kept, t))
+    # the lambda runs once a term, so nothing of the whole text may stand in it
+    return F.filter(found, lambda t: (F.length(t) >= least) & ~t.isin(*stop))

@@ -382,7 +382,7 @@ def argmax_cluster(spark, d):
 def clean_terms(spark, d):
     t = table(spark, d, "pages").select("page_id", F.explode(terms(F.col("html"), ["the", "of", "and"], 2)).alias("term"))
     per_page = t.groupBy("term", "page_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_page.groupBy("term").agg(F.sum("n").cast("long").alias("n"), F.count(F.lit(1)).alias("pages"))
+    return per_page.groupBy("term").agg(F.sum("n").cast("long").alias("n"), F.count("page_id").alias("pages"))
 
 
 # ---- steps of the update rules
