@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from tessella.functions.columns import split_start
 from tessella.session import written
 
+#: Repeated ids of documents that are broadcast; more of them are met by sort and merge.
+FEW_IDS = 1_000_000
+
 
 def cols(k: int, name: str = "f") -> list[str]:
     return [f"{name}{r}" for r in range(k)]
@@ -183,12 +186,25 @@ def permuted(a: DataFrame, columns: dict[str, int]) -> tuple[DataFrame, dict[str
 
 
 def bag_of_words(docs: DataFrame, vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(i, j, v): counts of the `vocabulary` terms in most documents; terms are runs of a-z, j their place in that order."""
-    terms = F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("([a-z]+)"), F.lit(1)))
-    counts = docs.select(F.col(id_col).alias("i"), terms.alias("term")).groupBy("i", "term").agg(F.count(F.lit(1)).cast("double").alias("v"))
-    top = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(vocabulary)
-    ranked = top.withColumn("j", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).cast("long"))
-    return counts.join(F.broadcast(ranked.select("term", "j")) if vocabulary <= 100_000 else ranked.select("term", "j"), "term").select("i", "j", "v")
+    """(i, j, v): counts of the `vocabulary` terms in most documents; terms are runs of a-z, j their place in that order.
+
+    A row whose id no other row has is a document, so its distinct terms are counted where they stand; only rows of repeated
+    ids bring pairs of document and term together. Documents are then counted by the chosen terms alone.
+    """
+    found = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"))
+    twice = written(rows.groupBy("i").count().where("count > 1").select(F.col("i").alias("id")), "repeated-ids")
+    twice = F.broadcast(twice) if twice.count() <= FEW_IDS else twice.hint("merge")
+    same = F.col("i").eqNullSafe(F.col("id"))
+    once = rows.join(twice, same, "left_anti").select(F.explode(F.array_distinct(found)).alias("term"))
+    more = rows.join(twice, same, "left_semi").select("i", F.explode(F.array_distinct(found)).alias("term")).distinct().select("term")
+    top = once.unionByName(more).groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(vocabulary)
+    ranked = top.withColumn("j", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).cast("long")).select("term", "j")
+    every = rows.select("i", F.explode(found).alias("term"))
+    number = F.count(F.lit(1)).cast("double").alias("v")
+    if vocabulary <= 100_000:
+        return every.join(F.broadcast(ranked), "term").groupBy("i", "j").agg(number)
+    return every.groupBy("i", "term").agg(number).join(ranked, "term").select("i", "j", "v")
 
 
 def top_terms(factor: DataFrame, n: int) -> DataFrame:
