@@ -13,7 +13,8 @@ more than a row for each batch on one task. The same holds for whole copies of a
 the later ones are known and are not cut into windows at all.
 
 Each word has two hashes of 64 bits, by two functions. Minimisers come from the first and windows from the second, so windows taken for equal
-agree in both; whole copies agree in 128 bits of all their words.
+agree in both; whole copies agree in 128 bits of both hashes of all their words. Words are split, numbered and hashed by
+batch - each different word of a piece of it once -, and windows of all its documents are hashed together.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ from tessella.llm._words import _M, mix, window_hashes
 _LOWEST = -(1 << 63)
 #: Documents of a batch within which equal windows are combined, and whole texts that a task remembers at a time.
 ROWS, WHOLES = 2048, 200_000
+#: Bytes of text whose words are held at a time, more only if one text has more.
+PIECE = 4 << 20
 #: Windows of one entry: as many bits as its masks have.
 BITS = 31
 _FLAGS = "doc_id long, row long, start int, later int, again int"
@@ -51,33 +55,76 @@ def other_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def _pieces(text: pa.Array):
+    """Places of texts in a row, from and to, of PIECE bytes or one text at most."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(text):
+        end = max(at + 1, int(np.searchsorted(size, PIECE + (size[at - 1] if at else 0), "right")))
+        yield at, end
+        at = end
+
+
 def _rows(batch: pa.RecordBatch, k: int):
-    """The rows of a batch from k on, at most ROWS, in the order of their documents, a few at a time as lists."""
-    order = np.argsort(batch.column(0).slice(k, ROWS).to_numpy(), kind="stable") + k
-    for j in range(0, len(order), 128):
-        yield from zip(*(c.take(pa.array(order[j : j + 128])).to_pylist() for c in batch.columns), strict=True)
+    """The rows of a batch from k on, at most ROWS, in the order of their documents, a piece at a time."""
+    part = batch.take(pa.array(np.argsort(batch.column(0).slice(k, ROWS).to_numpy(), kind="stable") + k))
+    for at, end in _pieces(part.column(part.schema.get_field_index("text"))):
+        yield part.slice(at, end - at)
+
+
+class _Words:
+    """The words of some texts, those of text i from offs[i] to offs[i + 1]."""
+
+    def __init__(self, text: pa.Array):
+        lists = pc.ascii_split_whitespace(text)
+        self.values = lists.values
+        full = pc.binary_length(self.values).to_numpy(zero_copy_only=False) > 0  # blanks at an end leave empty ones
+        self.at = np.flatnonzero(full)
+        self.offs = np.concatenate([[0], np.cumsum(full)])[lists.offsets.to_numpy()]
+        self.n = np.diff(self.offs)
+
+    def hashes(self, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of each word, or of some words by their places."""
+        coded = self.values.take(pa.array(self.at if some is None else self.at[some])).dictionary_encode()
+        words, ids = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+        return word_hashes(words)[ids], other_hashes(words)[ids]
+
+    def starts(self, length: int) -> np.ndarray:
+        """True at words from which so many stand in their text."""
+        place = np.arange(self.offs[-1]) - np.repeat(self.offs[:-1], self.n)
+        return place <= np.repeat(self.n, self.n) - length
+
+    def marked(self, packed: pa.Array, length: int) -> np.ndarray:
+        """_marked() of lists of entries by text, without places from which fewer than so many words stand."""
+        of = np.repeat(np.arange(len(self.n)), pc.fill_null(pc.list_value_length(packed), 0).to_numpy(zero_copy_only=False))
+        x = packed.flatten().to_numpy(zero_copy_only=False)
+        start, mask = (x >> BITS) + self.offs[of], x & (1 << BITS) - 1
+        end = self.offs[of + 1] - length
+        out = np.zeros(self.offs[-1], bool)
+        for bit in range(int(mask.max()).bit_length() if len(mask) else 0):
+            to = start[mask >> bit & 1 > 0] + bit
+            out[to[to <= end[mask >> bit & 1 > 0]]] = True
+        return out
+
+
+def _wholes(offs: np.ndarray, h: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """128 bits of the words of each text as two signed longs."""
+    both = np.stack([h, other], 1)
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(both[a:b].tobytes(), 9) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)), "<i8").reshape(-1, 2)
 
 
 def minimisers(h: np.ndarray, n: int) -> np.ndarray:
-    """For each n values in a row the position of the least (the first of equal ones)."""
-    out = []
-    for i in range(0, max(0, len(h) - n + 1), 1 << 16):
-        part = h[i : min(len(h), i + (1 << 16) + n - 1)]
-        if n <= 64:
-            out.append(np.lib.stride_tricks.sliding_window_view(part, n).argmin(1) + np.arange(i, i + len(part) - n + 1))
-        else:
-            out.append(_long_minimisers(part, n) + i)
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def _long_minimisers(h: np.ndarray, n: int) -> np.ndarray:
-    """minimisers() by doubling: the least of 2, 4, 8 .. values, then of two overlapping stretches."""
-    at, size = np.arange(len(h)), 1
-    while 2 * size <= n:
-        a, b = at[:-size], at[size:]
-        at, size = np.where(h[b] < h[a], b, a), 2 * size
-    a, b = at[: len(h) - n + 1], at[n - size : len(h) - size + 1]
-    return np.where(h[b] < h[a], b, a)
+    """For each n values in a row the position of the least (the first of equal ones): the least of 2, 4, 8 .. values, then
+    of two overlapping stretches."""
+    if len(h) < n:
+        return np.zeros(0, np.int64)
+    at, size, least = np.arange(len(h)), 1, h
+    while size < n:
+        step = min(size, n - size)
+        a, b = least[:-step], least[step:]
+        less = b < a
+        at, least, size = np.where(less, at[step:], at[:-step]), np.minimum(a, b), size + step
+    return at
 
 
 def _firsts(order: list[np.ndarray]) -> np.ndarray:
@@ -91,11 +138,6 @@ def _firsts(order: list[np.ndarray]) -> np.ndarray:
     return new
 
 
-def _whole(words: list[bytes]) -> tuple[int, int]:
-    """128 bits of all words as two signed longs."""
-    return tuple(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words), 9), "<i8").tolist())
-
-
 def _route(doc_ids: np.ndarray) -> np.ndarray:
     return mix(doc_ids.astype(np.int64).view(np.uint64)).view(np.int64)
 
@@ -114,24 +156,28 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 hs, ds, ps, alone = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-                for doc_id, text in _rows(batch, k):
-                    words = split_words(text)
-                    if len(words) < length:
-                        continue
-                    whole = _whole(words)
-                    first = met.get(whole)
-                    if first is not None and first <= doc_id:
-                        if first < doc_id:
-                            alone.append((None, doc_id, -2, whole[1]))
-                        continue
-                    if len(met) >= WHOLES:
-                        met.clear()
-                    met[whole] = doc_id
-                    alone.append((whole[0], doc_id, -4, whole[1]))
-                    h = mix(window_hashes(word_hashes(words), half))
+                for part in _rows(batch, k):
+                    words = _Words(part.column(1))
+                    first_hash, other = words.hashes()
+                    cut = words.n >= length
+                    own, long = part.column(0).to_numpy(), np.flatnonzero(cut)
+                    for i, whole, doc_id in zip(long.tolist(), map(tuple, _wholes(words.offs, first_hash, other)[long].tolist()), own[long].tolist(), strict=True):
+                        first = met.get(whole)
+                        if first is not None and first <= doc_id:
+                            cut[i] = False
+                            if first < doc_id:
+                                alone.append((None, doc_id, -2, whole[1]))
+                            continue
+                        if len(met) >= WHOLES:
+                            met.clear()
+                        met[whole] = doc_id
+                        alone.append((whole[0], doc_id, -4, whole[1]))
+                    h = mix(window_hashes(first_hash, half))
+                    of = np.repeat(np.arange(len(own)), words.n)
                     at = minimisers(h, length - half + 1)
+                    at = at[(words.starts(length) & cut[of])[: len(at)]]
                     at = at[_firsts([at])]  # the minimisers of windows in a row do not go back
-                    hs.append(h[at]), ps.append(at), ds.append(np.full(len(at), doc_id))
+                    hs.append(h[at]), ps.append(at - words.offs[of[at]]), ds.append(own[of[at]])
                 h, d, p = np.concatenate(hs).view(np.int64), np.concatenate(ds), np.concatenate(ps)
                 order = np.argsort(h, kind="stable")  # by document and place within equal ones, as they come
                 h, d, p = h[order], d[order], p[order]
@@ -205,23 +251,27 @@ def _windows(docs: DataFrame, length: int, first: bool) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 keys, hs, ds, rs, ss, es = [], [], [], [], [], []
-                for doc_id, row, text, hot in _rows(batch, k):
-                    words = split_words(text)
-                    if len(words) < length:
+                for part in _rows(batch, k):
+                    words, span = _Words(part.column(2)), length - half + 1
+                    hot = words.marked(part.column(3), half)
+                    total = np.concatenate([[0], np.cumsum(hot)])
+                    hits = total[span:] - total[:-span]
+                    start = np.flatnonzero((hits > 0 if first else hits == span) & words.starts(length)[: len(hits)])
+                    if not len(start):
                         continue
-                    hot = _marked(hot, len(words) - half + 1)
-                    span = length - half + 1
-                    if not first:
-                        total = np.concatenate([[0], np.cumsum(hot)])
-                        start = np.flatnonzero(total[span:] - total[:-span] == span)
-                        if not len(start):
-                            continue
-                    anchor = mix(window_hashes(word_hashes(words), half))
-                    at = minimisers(anchor, span)
+                    edge = np.zeros(len(hot) + 1, np.int64)
+                    np.add.at(edge, start, 1), np.add.at(edge, start + length, -1)
+                    some = np.flatnonzero(np.cumsum(edge)[:-1])  # words of such windows, in a row here as there
+                    near = np.searchsorted(some, start)
+                    one, other = words.hashes(some)
+                    anchor = mix(window_hashes(one, half))
+                    at = minimisers(anchor, span)[near]
                     if first:
-                        start = np.flatnonzero(hot[at])
-                    keys.append(anchor[at[start]]), hs.append(window_hashes(other_hashes(words), length)[start]), ss.append(start), es.append(at[start])
-                    ds.append(np.full(len(start), doc_id)), rs.append(np.full(len(start), row))
+                        kept = hot[some[at]]
+                        start, near, at = start[kept], near[kept], at[kept]
+                    of = np.searchsorted(words.offs, start, "right") - 1
+                    keys.append(anchor[at]), hs.append(window_hashes(other, length)[near]), ss.append(start - words.offs[of]), es.append(at)
+                    ds.append(part.column(0).to_numpy()[of]), rs.append(part.column(1).to_numpy()[of])
                 if not keys or not sum(map(len, keys)):
                     continue
                 key, h, d, r, s, e = (np.concatenate(x) for x in (keys, hs, ds, rs, ss, es))
@@ -239,11 +289,12 @@ def _windows(docs: DataFrame, length: int, first: bool) -> DataFrame:
                 end, place = np.append(begin[1:], len(h)), place % BITS
                 known, again = (np.add.reduceat(x.astype(np.int64) << place, begin) for x in (later, later | more))
                 full = known == (1 << (end - begin)) - 1
-                raw = h.tobytes()
                 route = np.where(full, _route(d[begin]).view(np.uint64), key[begin]).view(np.int64)
-                hashes = [b"" if f else raw[8 * x : 8 * y] for f, x, y in zip(full, begin, end, strict=True)]
+                ends = np.concatenate([[0], np.cumsum(np.where(full, 0, 8 * (end - begin)))]).astype(np.int32)
+                sent = h[np.repeat(~full, end - begin)]
+                hashes = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(sent)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(route), pa.array(d[begin]), pa.array(r[begin]), *(pa.array(x.astype(np.int32)) for x in (s[begin], known, again)), pa.array(hashes, pa.binary())],
+                    [pa.array(route), pa.array(d[begin]), pa.array(r[begin]), *(pa.array(x.astype(np.int32)) for x in (s[begin], known, again)), hashes],
                     names=["route", "doc_id", "row", "start", "known", "again", "hashes"],
                 )
 
@@ -358,9 +409,14 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
 
     def whole(batches):
         for batch in batches:
-            column = batch.column(2)
-            keep = [bool(w) and _whole(split_words(t))[1] in w for w, t in zip(batch.column(4).to_pylist(), column.to_pylist(), strict=True)]
-            yield batch.append_column("copy", pa.array(keep, pa.bool_()))
+            keep = np.zeros(batch.num_rows, bool)
+            copied = np.flatnonzero(pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False))
+            texts = batch.column(2).take(pa.array(copied))
+            for at, end in _pieces(texts):
+                words = _Words(texts.slice(at, end - at))
+                own = _wholes(words.offs, *words.hashes())[:, 1].tolist()
+                keep[copied[at:end]] = [x in w for x, w in zip(own, batch.column(4).take(pa.array(copied[at:end])).to_pylist(), strict=True)]
+            yield batch.append_column("copy", pa.array(keep))
 
     told = some.mapInArrow(whole, "doc_id long, row long, text string, hot array<long>, wholes array<long>, copy boolean")
     copies = told.where("copy").select("doc_id", "row", "text", F.lit(0).cast("long").alias("longest"), F.lit(None).cast("array<long>").alias("flags"))
